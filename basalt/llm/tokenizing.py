@@ -1,67 +1,132 @@
-"""Encoding of whole texts with a tokenizers file, word by word with a cache.
+"""Encoding of whole texts with a tokenizers file, chunk by chunk with a cache.
 
-The tokenizer's pre-tokenizer never lets a token reach over ASCII white space and its normalizer treats
-white space alone as a boundary, so the ids of a text are the ids of its white-space-separated chunks, one
-after the other. Each distinct chunk is encoded once by the library; tests hold this against the plain call.
+The tokenizer lower-cases, treats white space alone as a boundary and never lets a token reach over a change
+between letters and punctuation. So the ids of a text are the ids of its white-space-separated chunks, and
+those of a plain word with punctuation behind it are the ids of the word and of the punctuation. Each
+distinct unit is encoded once by the library: words of small Latin letters, which neither normalizer nor
+splitter would change, by its model and byte alphabet alone, everything else by all its steps. Texts that
+may name a special token are encoded whole. Tests hold all this against the plain call.
 """
 
 from __future__ import annotations
 
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from basalt.llm.common import ragged, split_words
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[str, UnitEncoder] = {}
 
+#: Small letters that normalization leaves as they are.
+PLAIN = "[a-zß-öø-ÿ]+"
+#: A plain word and punctuation that is no apostrophe and opens no special token.
+WITH_TAIL = f'^(?P<core>{PLAIN})(?P<tail>[-.,;:!?*&#$%"()/=+_]+)$'
 
-class ChunkEncoder:
-    """ids of texts; remembers the ids of up to `keep` distinct chunks between batches."""
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+def _listed(strings: pa.Array) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
+class UnitEncoder:
+    """ids of texts; remembers the ids of up to `keep` distinct units between batches."""
+
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        self.tokenizer, self.plain, self.keep = Tokenizer.from_file(path), Tokenizer.from_file(path), keep
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        mark = self.tokenizer.model.end_of_word_suffix or "\0"
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.is_end[[i for name, i in self.tokenizer.get_vocab().items() if name.endswith(mark)]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.ids, self.ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-
-    def _learn(self, new: list[str]) -> None:
-        got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        lists = [e.ids for e in got]
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-        self.ids.append(np.fromiter((i for x in lists for i in x), np.int32, int(lengths.sum())))
+        self.rows: dict[str, int] = {"": 0}
+        self.ids, self.ends = [np.zeros(0, np.int32)], [np.zeros(2, np.int64)]
+
+    def _add(self, names: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.rows.update(zip(names, range(len(self.rows), len(self.rows) + len(names)), strict=True))
+        self.ids.append(ids.astype(np.int32))
         self.ends.append(self.ends[-1][-1] + np.cumsum(lengths))
-        if len(self.ids) > 16:
-            self.ids, self.ends = [np.concatenate(self.ids)], [np.concatenate(self.ends)]
+
+    def _learn(self, words: list[str], others: list[str]) -> None:
+        for a in range(0, len(words), 1000):  # short runs stay in the processor's cache
+            part = words[a : a + 1000]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) == len(part):  # every word ends with a token that carries the end-of-word mark
+                self._add(part, ids, np.diff(ends, prepend=0))
+            else:
+                others = others + part
+        for a in range(0, len(others), 20_000):
+            part = others[a : a + 20_000]
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+            self._add(part, np.fromiter((i for x in lists for i in x), np.int32, int(lengths.sum())), lengths)
+
+    def _known(self, names: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.rows.get, names, repeat(-1)), np.int64, len(names))
+
+    def _units(self, words: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self._known(words), self._known(others)]
+        new = [list({names[i]: 0 for i in np.flatnonzero(rows < 0)}) for names, rows in zip((words, others), found, strict=True)]
+        if len(self.rows) + sum(map(len, new)) > self.keep:
+            self._forget()
+            new = [list(dict.fromkeys(words)), [x for x in dict.fromkeys(others) if x]]
+        self._learn(*new)
+        return (self._known(words), self._known(others)) if new[0] or new[1] else tuple(found)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (int32) of the texts, and the number of ids of each text."""
-        chunks, per_text = split_words(texts)
+        odd = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+        lowered = pc.ascii_lower(texts)
+        if len(odd):
+            mask = np.zeros(len(texts), bool)
+            mask[odd] = True
+            lowered = pc.if_else(pa.array(mask), "", lowered)
+        chunks, per_text = split_words(lowered)
         coded = chunks.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        new = [x for x in names if x not in self.rows]
-        if len(self.rows) + len(new) > self.keep:
-            self._forget()
-            new = names
-        for a in range(0, len(new), 50_000):
-            self._learn(new[a : a + 50_000])
+        names = coded.dictionary
+        is_word = pc.match_substring_regex(names, f"^{PLAIN}$").to_numpy(zero_copy_only=False)
+        parts = pc.extract_regex(names.filter(pa.array(~is_word)), WITH_TAIL)
+        has_tail = parts.is_valid().to_numpy(zero_copy_only=False)
+        rest = np.flatnonzero(~is_word)
+        tailed, whole = rest[has_tail], rest[~has_tail]
+        parts = parts.filter(pa.array(has_tail))
+        words = _listed(names.filter(pa.array(is_word))) + _listed(parts.field("core"))
+        others = _listed(names.take(pa.array(whole))) + _listed(parts.field("tail"))
+        word_rows, other_rows = self._units(words, others)
+        # every distinct chunk is two units; the empty one stands for none
+        units = np.zeros((len(names), 2), np.int64)
+        units[np.flatnonzero(is_word), 0] = word_rows[: int(is_word.sum())]
+        units[tailed, 0], units[tailed, 1] = word_rows[int(is_word.sum()) :], other_rows[len(whole) :]
+        units[whole, 0] = other_rows[: len(whole)]
         flat, ends = np.concatenate(self.ids), np.concatenate(self.ends)
-        rows = np.fromiter(map(self.rows.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy(zero_copy_only=False)]
-        each = ends[rows + 1] - ends[rows]
-        out = flat[ragged(ends[rows], each)]
-        last = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(per_text)])]
-        return out, np.diff(last)
+        self.ids, self.ends = [flat], [ends]
+        first, each = ends[units], ends[units + 1] - ends[units]
+        of_chunks = flat[ragged(first.ravel(), each.ravel())]
+        lengths = each.sum(1)
+        starts = np.cumsum(lengths) - lengths
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        lengths = lengths[index]
+        out = of_chunks[ragged(starts[index], lengths)]
+        counts = np.diff(np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(per_text)])])
+        if len(odd):
+            cuts = np.split(out, np.cumsum(counts)[:-1])
+            for i in odd:
+                cuts[i] = np.array(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, np.int32)
+            out, counts = np.concatenate(cuts), np.fromiter(map(len, cuts), np.int64, len(cuts))
+        return out, counts
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> UnitEncoder:
     """One encoder for each tokenizer file and Python worker."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
+        _ENCODERS[path] = UnitEncoder(path)
     return _ENCODERS[path]
