@@ -4,10 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
-
-from basalt.llm.common import split_words
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -19,13 +15,63 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+_BASE = 0x9E3779B97F4A7C15
+_PIECE = 1 << 20
+_powers: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base and of its inverse, modulo 2**64."""
+    if len(_powers.get("up", ())) < n:
+        with np.errstate(over="ignore"):
+            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+                row = np.full(max(n, _PIECE), base, np.uint64)
+                row[0] = 1
+                _powers[name] = np.multiply.accumulate(row)
+    return _powers["up"][:n], _powers["down"][:n]
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    values = mix(np.arange(256, dtype=np.uint64), 5)
+    values[65:91] = values[97:123]
+    gaps = np.zeros(256, bool)
+    gaps[[32, *range(9, 14)]] = True
+    return values, gaps
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a string array without nulls, and where each text starts and the last ends."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word (A-Z lower-cased) of the texts, and the number of words of each."""
-    words, counts = split_words(pc.ascii_lower(texts) if lower else texts)
-    coded = words.dictionary_encode()
-    names = coded.dictionary.cast(pa.binary()).to_pylist()
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
-    return hashes[coded.indices.to_numpy(zero_copy_only=False)], counts
+    data, offsets = text_bytes(texts)
+    hashes, counts, a = [], [], 0
+    values, gaps = _tables()
+    with np.errstate(over="ignore"):
+        while a < len(texts):  # some hundred kB at a time stay in the processor's cache
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + _PIECE // 4)) - 1)
+            part, cuts = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            n = len(part)
+            gap = gaps[part]
+            begins, ends = ~gap, ~gap
+            begins[1:] &= gap[:-1]
+            ends[:-1] &= gap[1:]
+            inner = cuts[(cuts > 0) & (cuts < n)]  # words end with their text
+            begins[inner] |= ~gap[inner]
+            ends[inner - 1] |= ~gap[inner - 1]
+            first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+            up, down = powers(n + 1)
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(values[part] * up[:n], out=total[1:])
+            hashes.append(mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)))
+            counts.append(np.diff(np.searchsorted(first, cuts)))
+            a = b
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
 
 
 #: Odd multipliers of the words' places in a shingle.
