@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.llm import near_dup, packing, token_table
+from basalt.llm import near_dup, packing, repeats, token_table
 from basalt.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,11 +30,16 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_token_table": op3_token_table,
         "op6_packing": op6_packing,
         "op8_near_dup": op8_near_dup,
+        "op10_repeats": op10_repeats,
     }
 
 
