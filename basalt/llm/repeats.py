@@ -88,8 +88,8 @@ def _anchor_rows(length: int, grain: int):
     return run
 
 
-def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
-    """All suffixes of data in the order of their first `depth` bytes at least, by Larsson-Sadakane refinement."""
+def suffix_order(data: np.ndarray) -> np.ndarray:
+    """The suffix array of data, by Larsson-Sadakane refinement from an order by eight bytes."""
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     key = np.zeros(n, np.uint64)
@@ -102,7 +102,7 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
     rank = np.empty(n, np.int64)  # of a group: the place of its first
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     have = 8
-    while have < depth:
+    while have < 2 * n:
         # groups of one are in place; the others are sorted by the rank of what follows
         alone = new & np.append(new[1:], True)
         slots = np.flatnonzero(~alone)
@@ -160,7 +160,7 @@ def repeated_starts(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, p
     owner = np.repeat(np.arange(len(starts)), lengths)
     offset = np.arange(n) - starts[owner]
     whole = offset + length <= lengths[owner]
-    order = suffix_order(data, length)
+    order = suffix_order(data)
     group = np.cumsum(common_prefixes(data, order, starts, lengths, length) < length) - 1
     fit = whole[order]
     at, group = order[fit], group[fit]
@@ -238,24 +238,47 @@ def _fingerprints(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray,
         return mix((total[at + length] - total[at]) * powers(len(data) + 1)[1][at], 4), at, starts, lengths
 
 
-def _cut(length: int):
+def _low_and_high(prints: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct fingerprints in order, with the smallest and the largest place of each."""
+    order = np.argsort(prints)
+    prints, places = prints[order], places[order]
+    first = np.flatnonzero(np.append(True, prints[1:] != prints[:-1])) if len(prints) else np.zeros(0, np.int64)
+    if not len(first):
+        return prints, places, places
+    return prints[first], np.minimum.reduceat(places, first), np.maximum.reduceat(places, first)
+
+
+def _cut(length: int, shard_classes: int):
     def run(table: pa.Table) -> pa.Table:
-        prints = np.unique(_fingerprints(table, length)[0])
-        buckets = -(-table.column("classes")[0].as_py() // SHARD_CLASSES)
+        prints, at, starts, lengths = _fingerprints(table, length)
+        owner = np.repeat(np.arange(len(starts)), np.maximum(lengths - length + 1, 0))
+        with np.errstate(over="ignore"):
+            place = table.column("place").to_numpy().view(np.uint64)[owner] + (at - starts[owner]).astype(np.uint64)
+        twice = (table.column("copies").to_numpy() > 1)[owner]  # windows of several places at once
+        prints, low, high = _low_and_high(np.concatenate([prints, prints[twice]]), np.concatenate([place, ~place[twice]]))
+        buckets = -(-table.column("classes")[0].as_py() // shard_classes)
         bucket = (prints >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
         edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-        rows = [(b, prints[edges[b] : edges[b + 1]].tobytes()) for b in range(buckets) if edges[b] < edges[b + 1]]
-        one = {k: [table.column(k)[0].as_py()] * len(rows) for k in ("anchor", "part")}
-        return pa.table({**one, "bucket": pa.array([r[0] for r in rows], pa.int64()), "prints": pa.array([r[1] for r in rows], pa.binary())})
+        rows = [(b, *(x[edges[b] : edges[b + 1]].tobytes() for x in (prints, low, high))) for b in range(buckets) if edges[b] < edges[b + 1]]
+        one = {k: pa.array([table.column(k)[0].as_py()] * len(rows), pa.int64()) for k in ("anchor", "part")}
+        return pa.table({**one, "bucket": pa.array([r[0] for r in rows], pa.int64()), **{k: pa.array([r[i] for r in rows], pa.binary()) for i, k in ((1, "prints"), (2, "low"), (3, "high"))}})
 
     return run
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """Fingerprints that two or more shards of the bucket have, by binary search in all of them."""
-    own = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("prints")]
-    merged = np.sort(np.concatenate(own))
-    found = [x[np.searchsorted(merged, x, "right") - np.searchsorted(merged, x, "left") > 1].tobytes() for x in own]
+    """Fingerprints of two or more places in the bucket's shards, found by binary search for each shard."""
+    own, low, high = ([np.frombuffer(x.as_py(), np.uint64) for x in table.column(k)] for k in ("prints", "low", "high"))
+    both = [np.concatenate(x) for x in (own, low, high)]
+    prints, least, most = _low_and_high(np.concatenate([both[0], both[0]]), np.concatenate([both[1], both[2]]))
+    several = prints[least != most]
+    found = []
+    for x in own:
+        spot = np.searchsorted(several, x)
+        hit = np.zeros(len(x), bool)
+        inside = spot < len(several)
+        hit[inside] = several[spot[inside]] == x[inside]
+        found.append(x[hit].tobytes())
     return pa.table({"anchor": table.column("anchor"), "part": table.column("part"), "found": pa.array(found, pa.binary())})
 
 
@@ -328,7 +351,7 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, grain: int = GRAIN, s
     ranges = contexts.repartition(shards, "anchor", "part").mapInArrow(_shard(length), RANGES)
     hot = contexts.where(F.col("classes") > shard_classes)
     if not hot.isEmpty():
-        cut = hot.groupBy("anchor", "part").applyInArrow(_cut(length), "anchor long, part long, bucket long, prints binary")
+        cut = hot.groupBy("anchor", "part").applyInArrow(_cut(length, shard_classes), "anchor long, part long, bucket long, prints binary, low binary, high binary")
         both = cut.groupBy("anchor", "bucket").applyInArrow(_merge, "anchor long, part long, found binary")
         ranges = ranges.unionByName(hot.groupBy("anchor", "part").cogroup(both.groupBy("anchor", "part")).applyInArrow(_marked(length), RANGES))
     ranges = ranges.groupBy("anchor", "context").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
