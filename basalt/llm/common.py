@@ -100,4 +100,19 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     if not total:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
-    return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+    small = total < 1 << 31 and (not len(starts) or int(starts.max()) + total < 1 << 31)
+    kind = np.int32 if small else np.int64
+    out = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    out += np.arange(total, dtype=kind)
+    return out
+
+
+def release_memory() -> None:
+    """Give a worker's freed memory back, so that idle workers stay small."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.llm import near_dup, packing, repeats, token_table
+from basalt.llm import near_dup, packing, quality, repeats, token_table
 from basalt.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.judged(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,6 +44,7 @@ def queries() -> dict[str, Query]:
     return {
         "op3_token_table": op3_token_table,
         "op6_packing": op6_packing,
+        "op7_quality_rules": op7_quality_rules,
         "op8_near_dup": op8_near_dup,
         "op10_repeats": op10_repeats,
     }

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm.bloom import build
-from basalt.llm.common import as_strings, ragged, small_batches, written
+from basalt.llm.common import as_strings, ragged, release_memory, small_batches, written
 from basalt.llm.shingles import mix, powers, text_bytes
 
 LENGTH, GRAIN = 200, 48
@@ -225,6 +225,7 @@ def _shard(length: int):
         many = table.column("copies").to_numpy(zero_copy_only=False) > 1
         hit = repeated_starts(data, starts, lengths, place, many, length)
         yield pa.RecordBatch.from_arrays(_ranges(table, hit, starts, lengths), names=["anchor", "context", "first", "last"])
+        release_memory()
 
     return run
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import as_strings, new_path, small_batches
+from basalt.llm.common import as_strings, new_path, release_memory, small_batches
 from basalt.llm.tokenizing import encoder
 
 SCHEMA = "doc_id long, shard int, row long, n_tokens long, shard_start long, tokens array<int>"
@@ -33,7 +33,7 @@ PAGE_BYTES = 128 << 10
 def _encoded(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, row, start = TaskContext.get().partitionId(), 0, 0
-        for batch in small_batches(batches, 1, 8 << 20):
+        for batch in small_batches(batches, 1, 4 << 20):
             ids, counts = encoder(tokenizer).encode(as_strings(batch.column(1)))
             ends = np.cumsum(counts)
             ids, counts = np.insert(ids, ends, end_id), counts + 1
@@ -51,6 +51,7 @@ def _encoded(tokenizer: str, end_id: int):
                 names=["doc_id", "shard", "row", "n_tokens", "shard_start", "tokens"],
             )
             row, start = row + n, start + int(ends[-1])
+        release_memory()
 
     return run
 

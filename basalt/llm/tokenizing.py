@@ -34,7 +34,7 @@ def _listed(strings: pa.Array) -> list[str]:
 class UnitEncoder:
     """ids of texts; remembers the ids of up to `keep` distinct units between batches."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 450_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -64,8 +64,8 @@ class UnitEncoder:
                 self._add(part, ids, np.diff(ends, prepend=0))
             else:
                 others = others + part
-        for a in range(0, len(others), 20_000):
-            part = others[a : a + 20_000]
+        for a in range(0, len(others), 5000):
+            part = others[a : a + 5000]
             lists = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             lengths = np.fromiter(map(len, lists), np.int64, len(lists))
             self._add(part, np.fromiter((i for x in lists for i in x), np.int32, int(lengths.sum())), lengths)
@@ -75,12 +75,17 @@ class UnitEncoder:
 
     def _units(self, words: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [self._known(words), self._known(others)]
-        new = [list({names[i]: 0 for i in np.flatnonzero(rows < 0)}) for names, rows in zip((words, others), found, strict=True)]
+        lacking = [np.flatnonzero(rows < 0) for rows in found]
+        names = [[x[i] for i in at] for x, at in zip((words, others), lacking, strict=True)]
+        new = [list(dict.fromkeys(x)) for x in names]
         if len(self.rows) + sum(map(len, new)) > self.keep:
             self._forget()
-            new = [list(dict.fromkeys(words)), [x for x in dict.fromkeys(others) if x]]
+            self._learn(list(dict.fromkeys(words)), [x for x in dict.fromkeys(others) if x])
+            return self._known(words), self._known(others)
         self._learn(*new)
-        return (self._known(words), self._known(others)) if new[0] or new[1] else tuple(found)
+        for rows, at, x in zip(found, lacking, names, strict=True):
+            rows[at] = self._known(x)
+        return tuple(found)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (int32) of the texts, and the number of ids of each text."""
