@@ -104,19 +104,20 @@ def links_of(docs: DataFrame, width: int = 3, low: int = 85, of: int = 100, coor
     named = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = named.groupBy(*key).agg(F.min("doc_id").alias("doc_id"))
     reps = named.join(classes, [*key, "doc_id"]).dropDuplicates(["doc_id"])
+    reps = written(reps.select("doc_id", "signature"), "classes")
 
     tokens = reps.select("doc_id", F.posexplode("signature").alias("at", "value")).select("doc_id", (F.col("at") * F.lit(1 << 32) + F.col("value")).alias("token"))
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = tokens.join(often, "token").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("tokens"))
     # values of their own come first in the order of rarity, so they use up the prefix
     prefix = F.slice("tokens", F.lit(1), F.size("tokens") - F.lit(matches - 1)).getField("token")
-    posted = written(shared.where(F.size("tokens") >= matches).select("doc_id", prefix.alias("prefix")), "posted")
+    shared = shared.where(F.size("tokens") >= matches).select("doc_id", prefix.alias("prefix"))
+    posted = written(shared.join(reps, "doc_id"), "posted")
     n = posted.count()
 
     bloom = spark.sparkContext.broadcast(build(posted.select("doc_id"), n))
-    sets = docs.where("doc_id IS NOT NULL").mapInArrow(_full_sets(width, bloom), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"])
-    sets = sets.join(posted, "doc_id").join(reps.select("doc_id", "signature"), "doc_id")
-    sets = written(sets, "sets")
+    sets = docs.where("doc_id IS NOT NULL").mapInArrow(_full_sets(width, bloom), "doc_id long, shingles array<long>")
+    sets = written(sets.join(posted, "doc_id").dropDuplicates(["doc_id"]), "sets")
 
     alone = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
     alone = alone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))

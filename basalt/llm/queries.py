@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basalt.llm import near_dup, packing, quality, repeats, token_table
+from basalt.llm import near_dup, packing, quality, repeats, secrets, token_table
 from basalt.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.sha2(secrets.spans_text("base_findings").cast("binary"), 256)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", base.alias("base_sha256"), secrets.spans_text("findings").alias("spans"), "n_markov")
+
+
 def op3_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table.token_digest(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
@@ -42,6 +49,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_secret_scan": op1_secret_scan,
         "op3_token_table": op3_token_table,
         "op6_packing": op6_packing,
         "op7_quality_rules": op7_quality_rules,
