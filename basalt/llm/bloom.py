@@ -41,9 +41,15 @@ class BlockedBloom:
             np.bitwise_or.at(self.words, at, bit)
 
     def may_hold(self, keys: np.ndarray) -> np.ndarray:
-        found = np.ones(len(keys), bool)
-        for at, bit in self._places(keys):
-            found &= (self.words[at] & bit) != 0
+        found, left = np.zeros(len(keys), bool), np.arange(len(keys))
+        h = mix(keys, 31)
+        bits = mix(h, 32)
+        first = ((h >> np.uint64(34)) % np.uint64(self.blocks) * np.uint64(8)).astype(np.int64)
+        for k in range(PROBES):  # most keys end at the first probe
+            bit = (bits >> np.uint64(9 * k)) & np.uint64(511)
+            hit = (self.words[first + (bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
+            left, first, bits = left[hit], first[hit], bits[hit]
+        found[left] = True
         return found
 
 

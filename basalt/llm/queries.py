@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm import near_dup, packing, quality, repeats, secrets, token_table
-from basalt.llm.common import table
+from basalt.llm import langid, near_dup, packing, quality, repeats, secrets, token_table, urlfilter
+from basalt.llm.common import crc_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,25 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", base.alias("base_sha256"), secrets.spans_text("findings").alias("spans"), "n_markov")
 
 
+#: host, path, verdict of the listed rules.
+RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "allow"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.range(len(RULES)).select(*(F.element_at(F.array(*(F.lit(r[k]) for r in RULES)), (F.col("id") + 1).cast("int")).alias(name) for k, name in enumerate(("host", "path", "verdict"))))
+    return urlfilter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+OP2_SQL = """
+WITH rules(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'allow'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+rest AS (SELECT page_id, row_number() OVER () AS id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+split AS (SELECT page_id, id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(r, length(regexp_extract(r, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM rest),
+hits AS (SELECT s.id, x.host || x.path AS rule, x.verdict, row_number() OVER (PARTITION BY s.id ORDER BY length(x.host || x.path) DESC, length(x.host) DESC) AS k
+  FROM split s JOIN rules x ON (s.host = x.host OR ends_with(s.host, '.' || x.host)) AND starts_with(s.path, x.path))
+SELECT s.page_id, s.host, s.path, h.rule, coalesce(h.verdict, 'allow') AS verdict FROM split s LEFT JOIN hits h ON s.id = h.id AND h.k = 1
+"""
+
+
 def op3_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table.token_digest(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
@@ -43,6 +62,13 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = crc_of_id("doc_id") % 3 == 1
+    model = langid.train(docs.where(~held).select("doc_id", "text", "lang"))
+    return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -50,13 +76,15 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_url_filter": op2_url_filter,
         "op3_token_table": op3_token_table,
         "op6_packing": op6_packing,
         "op7_quality_rules": op7_quality_rules,
         "op8_near_dup": op8_near_dup,
+        "op9_language_id": op9_language_id,
         "op10_repeats": op10_repeats,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filter": OP2_SQL}
