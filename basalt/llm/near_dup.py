@@ -22,6 +22,7 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,11 @@ from basalt.llm.shingles import coordinate_minima, set_keys, shingle_sets
 COORDINATES, MATCHES = 48, 27
 
 
+def least_matches(similarity: float, coordinates: int = COORDINATES) -> int:
+    """Coordinates in which two sets of this similarity agree at least, five standard deviations below the mean."""
+    return int(coordinates * similarity - 5.2 * math.sqrt(coordinates * similarity * (1 - similarity)))
+
+
 def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values, kind))
 

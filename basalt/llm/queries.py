@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm import langid, near_dup, packing, quality, repeats, secrets, token_table, urlfilter
+from basalt.llm import decontaminate, langid, near_dup, packing, quality, repeats, secrets, token_table, urlfilter
 from basalt.llm.common import crc_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def op3_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table.token_digest(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
@@ -78,6 +82,7 @@ def queries() -> dict[str, Query]:
         "op1_secret_scan": op1_secret_scan,
         "op2_url_filter": op2_url_filter,
         "op3_token_table": op3_token_table,
+        "op4_decontamination": op4_decontamination,
         "op6_packing": op6_packing,
         "op7_quality_rules": op7_quality_rules,
         "op8_near_dup": op8_near_dup,
