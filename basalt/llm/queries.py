@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm import decontaminate, langid, near_dup, packing, quality, repeats, secrets, token_table, urlfilter
+from basalt.llm import class_lm, decontaminate, langid, near_dup, packing, quality, repeats, secrets, token_table, urlfilter
 from basalt.llm.common import crc_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = crc_of_id("doc_id") % 7 == 2
+    scored = class_lm.score(docs, docs.where(~held))
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
@@ -83,6 +90,7 @@ def queries() -> dict[str, Query]:
         "op2_url_filter": op2_url_filter,
         "op3_token_table": op3_token_table,
         "op4_decontamination": op4_decontamination,
+        "op5_class_lm": op5_class_lm,
         "op6_packing": op6_packing,
         "op7_quality_rules": op7_quality_rules,
         "op8_near_dup": op8_near_dup,

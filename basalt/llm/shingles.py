@@ -49,8 +49,16 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word (A-Z lower-cased) of the texts, and the number of words of each."""
+    hashes, counts, _ = words_and_endings(texts)
+    return hashes, counts
+
+
+def words_and_endings(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes(), and of every word its last two bytes as a number (A-Z lower-cased; the first of them 0 in a word of one)."""
     data, offsets = text_bytes(texts)
-    hashes, counts, a = [], [], 0
+    hashes, counts, endings, a = [], [], [], 0
+    small = np.arange(256, dtype=np.int32)
+    small[65:91] += 32
     values, gaps = _tables()
     with np.errstate(over="ignore"):
         while a < len(texts):  # some hundred kB at a time stay in the processor's cache
@@ -70,8 +78,11 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             np.cumsum(values[part] * up[:n], out=total[1:])
             hashes.append(mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)))
             counts.append(np.diff(np.searchsorted(first, cuts)))
+            endings.append(small[part[last - 1]] + 256 * np.where(last - first > 1, small[part[last - 2]], 0))
             a = b
-    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    return np.concatenate(hashes), np.concatenate(counts).astype(np.int64), np.concatenate(endings)
 
 
 #: Odd multipliers of the words' places in a shingle.
