@@ -1 +1 @@
-"""sources"""
+"""Where tables come from."""
