@@ -8,9 +8,10 @@
 3. For the classes left, shingles that no other of them has bound every similarity from above; what can't
    reach the threshold with anyone is dropped, exactly.
 4. In each posting list every member is paired with the member of fewest own shingles. Pairs that agree in
-   enough coordinates are confirmed on full sets; components follow. Then only members of one list that lie
-   in different components and whose bound allows a link are paired. A list of many near copies so gives
-   one pair for each member, not all pairs, and no link between components is lost.
+   enough coordinates are confirmed on full sets; components follow.
+5. Sets of lists with several components are posted once more, under their rarest shingles, and paired there
+   across components. A group of many near copies so gives few pairs for each member, and no link between
+   components is lost.
 
 Signatures of 48 coordinates and 27 matches lose a pair at the threshold (0.85) with a chance near 1e-6;
 everything after the signatures is exact.
@@ -99,6 +100,29 @@ def _confirmed(matches: int, low: int, of: int):
     return run
 
 
+def _across(sets: DataFrame, low: int, of: int) -> DataFrame:
+    """(a, b): all pairs of different components that may reach low / of; sets has doc_id, component, shingles.
+
+    With the shingles of every set in one order, the rarest first, what a pair has in common starts at some
+    shingle, with as much behind it in either set as the threshold asks for. So a set is posted under its
+    rarest shingles only, and two rows of a list are paired only if their places leave enough behind. Rows of
+    a list's smallest component, as a rule the large one, are not paired with each other.
+    """
+    n = F.size("shingles").cast("long")
+    rows = sets.select("doc_id", "component", n.alias("n"), F.explode("shingles").alias("s"))
+    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("f"), F.min("component").alias("x"), F.max("component").alias("y")).where("f > 1").select("s", "f", "x", (F.col("x") < F.col("y")).alias("mixed"))
+    shared = rows.join(often, "s").groupBy("doc_id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s", "x", "mixed"))).alias("shared"))
+    reach = F.expr(f"n - CAST(ceil({low} * n / {of}D) AS BIGINT) + 1 - (n - size(shared))")
+    posted = shared.withColumn("own", F.col("n") - F.size("shared")).withColumn("shared", F.slice("shared", F.lit(1), F.greatest(reach, F.lit(0)).cast("int")))
+    posted = posted.select("doc_id", "component", "n", "own", F.posexplode("shared").alias("k", "z")).where("z.mixed")
+    posted = written(posted.select("doc_id", "component", "n", (F.col("n") - F.col("own") - F.col("k")).alias("behind"), F.col("z.s").alias("s"), F.col("z.x").alias("x")), "rarest")
+    p, q = posted.where("component <> x").alias("p"), posted.alias("q")
+    once = (F.col("q.component") == F.col("q.x")) | (F.col("p.doc_id") < F.col("q.doc_id"))
+    enough = F.lit(of + low) * F.least("p.behind", "q.behind") >= F.lit(low) * (F.col("p.n") + F.col("q.n"))
+    pairs = p.join(q, (F.col("p.s") == F.col("q.s")) & (F.col("p.component") != F.col("q.component")) & once & enough)
+    return pairs.select(F.least("p.doc_id", "q.doc_id").alias("a"), F.greatest("p.doc_id", "q.doc_id").alias("b"))
+
+
 def links_of(docs: DataFrame, width: int = 3, low: int = 85, of: int = 100, coordinates: int = COORDINATES, matches: int = MATCHES) -> tuple[DataFrame, DataFrame]:
     """(classes, components): every row with its set's digest; and (node, component) of linked class representatives.
 
@@ -148,12 +172,12 @@ def links_of(docs: DataFrame, width: int = 3, low: int = 85, of: int = 100, coor
     near = confirmed(star.select(F.least("p.doc_id", "h.doc_id").alias("a"), F.greatest("p.doc_id", "h.doc_id").alias("b")).distinct())
     known = written(components(near), "components")
 
-    labelled = postings.join(known, postings.doc_id == known.node, "left").select("token", "doc_id", "n", "own", F.coalesce("component", "doc_id").alias("component"))
+    labelled = postings.join(known, postings.doc_id == known.node, "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    labelled = labelled.join(mixed, "token", "left_semi").join(hubs.select("token", F.col("doc_id").alias("hub")), "token").where("doc_id <> hub")
-    across = labelled.alias("p").join(labelled.alias("q"), (F.col("p.token") == F.col("q.token")) & (F.col("p.component") < F.col("q.component")) & possible("p", "q"))
-    rest = confirmed(across.select(F.least("p.doc_id", "q.doc_id").alias("a"), F.greatest("p.doc_id", "q.doc_id").alias("b")).distinct())
-    return rows, components(near.unionByName(rest))
+    apart = labelled.join(mixed, "token", "left_semi").select("doc_id", "component").distinct()
+    across = _across(apart.join(sets.select("doc_id", "shingles"), "doc_id"), low, of)
+    rest = confirmed(across.distinct())
+    return rows, known if rest.isEmpty() else components(near.unionByName(rest))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, low: int = 85, of: int = 100, coordinates: int = COORDINATES, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
