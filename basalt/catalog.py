@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from basalt.plans import models, scans
+
 Query = Callable[[SparkSession, str], DataFrame]
 
+_ALL = scans.QUERIES | models.QUERIES
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for name, (_, text) in _ALL.items() if text}

@@ -79,3 +79,28 @@ def endpoint(method: Column, url: Column) -> Column:
 def operation_of(value: Column) -> Column:
     """The operation in an endpoint's value."""
     return F.split_part(value, F.lit("?"), F.lit(1))
+
+
+#: Shapes of references that name a page or an endpoint, and of those that name a style, an image or a font.
+ROUTE = "^(https?://[^/]|/[^/])"
+NOT_IN_ROUTE = '[\\x00-\\x20<>"|^`*;,]'
+ASSET = "\\.(css|png|jpe?g|gif|svg|ico|woff2?|ttf|map)([?#].*)?$"
+
+
+def looks_like_route(ref: Column) -> Column:
+    return ref.rlike(ROUTE) & ~ref.rlike(NOT_IN_ROUTE) & ~F.lower(ref).rlike(ASSET)
+
+
+def reference_kind(ref: Column) -> Column:
+    return F.when(ref.rlike("^([A-Za-z][A-Za-z0-9+.-]*:)?//"), "absolute").when(F.startswith(ref, F.lit("/")), "root").when(F.startswith(ref, F.lit(".")), "relative").otherwise("package")
+
+
+def glob_match(url: Column, patterns: list[str]) -> Column:
+    """Whether a pattern with `*` fits: one that starts with `/` the path, one with `/` inside host and path, else the host; any case."""
+    name, path = host(url), F.lower(part(url, PATH))
+    out = F.lit(False)
+    for pattern in patterns:
+        regex = "^" + "".join(".*" if c == "*" else c if c.isalnum() or c == "/" else "\\" + c for c in pattern.lower()) + "$"
+        subject = path if pattern.startswith("/") else F.concat(name, path) if "/" in pattern else name
+        out = out | subject.rlike(regex)
+    return out

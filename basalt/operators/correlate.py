@@ -19,18 +19,18 @@ def correlate(templates: DataFrame, observed: DataFrame) -> DataFrame:
     one constant segment of the template, never on all pairs.
     """
     parts = urls.segments(F.col("path"))
-    t = templates.withColumn("parts", parts).withColumn("open", F.coalesce(F.element_at(F.col("parts"), 1).rlike("^\\$\\{[^{}]*\\}$"), F.lit(False)))
+    t = templates.withColumn("parts", parts).withColumn("open", F.coalesce(F.try_element_at(F.col("parts"), F.lit(1)).rlike("^\\$\\{[^{}]*\\}$"), F.lit(False)))
     t = t.withColumn("tail", F.when(F.col("open"), F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0)))).otherwise(F.col("parts")))
     t = t.withColumn("constants", F.filter("tail", lambda s: ~s.rlike(PARAMETER))).where("size(constants) > 0")
-    t = t.withColumn("join_segment", F.element_at("constants", -1)).withColumn("t_size", F.size("tail"))
+    t = t.withColumn("join_segment", F.try_element_at("constants", F.lit(-1))).withColumn("t_size", F.size("tail"))
     o = observed.distinct().withColumn("seen", urls.segments(urls.part(F.col("url"), urls.PATH))).withColumn("seen_segment", F.explode(F.array_distinct("seen")))
     pairs = t.join(o, (F.upper(t.method) == F.upper(o.method)) & (t.join_segment == o.seen_segment) & F.when(F.col("open"), F.size("seen") >= F.col("t_size")).otherwise(F.size("seen") == F.col("t_size")))
     window = F.slice("seen", F.size("seen") - F.size("tail") + 1, F.size("tail"))
     fits = F.forall(F.zip_with("tail", window, lambda a, b: a.rlike(PARAMETER) | (a == b)), lambda x: x)
     score = F.struct(F.size("constants").alias("c"), (-(F.size("seen") - F.size("tail"))).alias("a"))
     scored = pairs.where(fits).select("finding", "url", score.alias("score"))
-    best = scored.groupBy("url").agg(F.max("score").alias("best"))
-    top = scored.join(best, (scored.url == best.url) & (scored.score == best.best)).select("finding", scored.url)
+    best = scored.groupBy("url").agg(F.max("score").alias("score"))
+    top = scored.join(best, ["url", "score"]).select("finding", "url")
     alone = top.groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.min("finding").alias("finding")).where("n = 1")
     return alone.groupBy("finding").agg(F.count_distinct("url").alias("n"), F.min("url").alias("url")).where("n = 1").select("finding", "url")
 
@@ -56,7 +56,7 @@ def classify(operations: DataFrame, documented: DataFrame) -> DataFrame:
     c = ops.withColumn("method", method).withColumn("segs", compare_path(F.col("operation"))).withColumn("path", key(F.col("segs")))
     raw = urls.segments(urls.operation_of(F.regexp_replace(F.col("operation"), "^[^ ]* ", "")))
     mixed = lambda s: s.rlike("[{}$]") & ~s.rlike(PARAMETER)
-    partial = F.exists(raw, mixed) | F.coalesce(F.element_at(raw, 1).rlike("^\\$\\{"), F.lit(False))
+    partial = F.exists(raw, mixed) | F.coalesce(F.try_element_at(raw, F.lit(1)).rlike("^\\$\\{"), F.lit(False))
     c = c.withColumn("non_http", ~F.col("method").isin(*VERBS)).withColumn("partial", F.coalesce(partial, F.lit(False)))
     d = documented.select("ord", F.col("operation").alias("doc"), F.split_part("operation", F.lit(" "), F.lit(1)).alias("method"), compare_path(F.col("operation")).alias("segs")).withColumn("path", key(F.col("segs")))
     suffixes = lambda t: t.withColumn("suffix", F.explode(F.when(F.size("segs") > 1, F.transform(F.sequence(F.lit(2), F.greatest(F.size("segs"), F.lit(2))), lambda i: F.array_join(F.slice("segs", i, F.size("segs")), "/")))))
