@@ -1,8 +1,9 @@
 """Secret scan in Spark expressions: fixed patterns, and character Markov models for what they miss.
 
 Two first-order character models are counted from labelled samples, random strings and ordinary identifiers.
-A run of 20 or more token characters is scored by the log-likelihood ratio of its transitions; a run that
-has a digit, scores above RATIO for each transition and overlaps no pattern match is one more finding. The
+In each run of 20 or more token characters the stretches are found whose log-likelihood ratio is above RATIO
+for each transition; each, widened to the next of DIVIDERS, is one more finding if it has 20 characters or
+more and doesn't lie within a pattern match, so it may overlap one that is a part of it. The
 models have one number for each pair of characters of a fixed alphabet, so they go into the plan as a
 constant.
 
@@ -25,7 +26,10 @@ HEX = "[0-9a-f]{24,}"
 LEAST_ASSIGNED = 6
 KINDS = ("assign", "access", "hex", "markov")
 
-RUN = "[A-Za-z0-9+/_=-]{20,}"
+LEAST_RUN = 20
+RUN = f"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}"
+#: Characters that join a secret to other text, characters of a stretch at least, and the fall of its sum that ends it.
+DIVIDERS, CORE, DROP = "/=_-", 10, 12
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
 #: Log-likelihood ratio for each transition from which a run counts as random.
@@ -75,11 +79,24 @@ def _found(pattern: str, keep: str = "true") -> str:
     return f"transform(array(regexp_extract_all(t, '{p}', 0)), m -> IF(size(m) = 0, {empty}, transform(array(split(t, '{p}', -1)), g -> {fold})[0]))[0]"
 
 
-def _llr(model: list[float]) -> str:
-    table = "array(" + ",".join(f"{x}D" for x in model) + ")"
+def _stretches(model: list[float], ratio: float) -> str:
+    """Spans of the random stretches of run x, widened to the next DIVIDERS.
+
+    A stretch is where the sum of what the transitions have above ratio grows; it ends at its largest sum,
+    once the sum has fallen by DROP below that.
+    """
+    table = "array(" + ",".join(f"{v}D" for v in model) + ")"
     codes = f"transform(split(x.m, ''), c -> instr('{ALPHABET}', c))"
-    sums = f"zip_with(slice(k, 1, size(k) - 1), slice(k, 2, size(k) - 1), (p, q) -> {table}[p * {SIZE} + q])"
-    return f"transform(array({codes}), k -> aggregate({sums}, 0D, (a, v) -> a + v) / (size(k) - 1))[0]"
+    gains = f"zip_with(slice(k, 1, size(k) - 1), slice(k, 2, size(k) - 1), (p, q) -> {table}[p * {SIZE} + q] - {ratio}D)"
+    spans = "CAST(array() AS array<struct<s: int, e: int>>)"
+    done = f"IF(a.high > 0 AND a.e - a.s >= {CORE}, array(struct(a.s AS s, a.e AS e)), {spans})"
+    start = f"struct({spans} AS spans, 0D AS sum, 0D AS high, 0 AS s, 0 AS e, 0 AS i)"
+    grown = "struct(a.spans AS spans, a.sum + v AS sum, greatest(a.high, a.sum + v) AS high, a.s AS s, IF(a.sum + v > a.high, a.i + 2, a.e) AS e, a.i + 1 AS i)"
+    again = f"struct(concat(a.spans, {done}) AS spans, 0D AS sum, 0D AS high, a.i + 1 AS s, a.i + 1 AS e, a.i + 1 AS i)"
+    fold = f"aggregate(g, {start}, (a, v) -> IF(a.sum + v <= 0 OR a.sum + v < a.high - {DROP}, {again}, {grown}), a -> concat(a.spans, {done}))"
+    found = f"flatten(transform(array({codes}), k -> flatten(transform(array({gains}), g -> {fold}))))"
+    wide = f"struct(x.s + z.s - length(regexp_extract(substring(x.m, 1, z.s), '[^{DIVIDERS}]*$', 0)) AS s, x.s + z.e + length(regexp_extract(substring(x.m, z.e + 1), '^[^{DIVIDERS}]*', 0)) AS e)"
+    return f"filter(array_distinct(transform({found}, z -> {wide})), z -> z.e - z.s >= {LEAST_RUN})"
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -95,8 +112,8 @@ def find(docs: DataFrame, model: list[float], text_col: str = "text", ratio: flo
     rows = docs.select(*(c for c in docs.columns if c not in taken), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = rows.select("*", F.explode(F.array(F.expr(f"struct({one})"))).alias("f"))
     tagged = "concat(" + ", ".join(f"transform(f.k{i}, x -> struct(x.s AS s, {i} AS kind, x.e AS e))" for i in range(3)) + ")"
-    scored = f"filter(f.k3, x -> NOT exists(b, y -> y.s < x.e AND x.s < y.e) AND x.m RLIKE '[0-9]' AND {_llr(model)} > {ratio})"
-    extra = f"transform({scored}, x -> struct(x.s AS s, 3 AS kind, x.e AS e))"
+    inside = "exists(b, y -> y.s <= x.s AND x.e <= y.e)"
+    extra = f"transform(filter(flatten(transform(f.k3, x -> {_stretches(model, ratio)})), x -> NOT {inside}), x -> struct(x.s AS s, 3 AS kind, x.e AS e))"
     both = _let("b", tagged, f"IF(size(f.k3) = 0, struct(array_sort(b) AS base, 0 AS more, array_sort(b) AS whole), {_let('w', extra, 'struct(array_sort(b) AS base, size(w) AS more, array_sort(concat(b, w)) AS whole)')})")
     result = F.array(
         F.struct(
