@@ -31,7 +31,7 @@ from basalt.llm.bloom import build
 from basalt.llm.common import as_strings, ragged, release_memory, small_batches, written
 from basalt.llm.shingles import mix, powers, text_bytes
 
-LENGTH, GRAIN = 200, 48
+LENGTH, GRAIN = 200, 120
 #: Contexts of one anchor in one shard, and bytes of contexts in a shard on average.
 SHARD_CLASSES, SHARD_BYTES = 4096, 2_000_000
 
@@ -181,16 +181,20 @@ RANGES = "anchor long, context long, first int, last int"
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows (uid, text, wanted contexts) the bytes of each context."""
     for batch in batches:
-        rows = []
-        for uid, text, wanted in zip(*(batch.column(i) for i in range(3)), strict=True):
-            body, uid = text.as_py().encode(), uid.as_py()
-            seed = int(mix(np.array([uid], np.int64).view(np.uint64), 11)[0])
-            for w in wanted.as_py():
-                a = w["pos"] - w["left"]
-                place = np.array([(seed + a) % (1 << 64)], np.uint64).view(np.int64)[0]
-                rows.append((w["anchor"], w["context"], w["copies"], w["classes"], w["part"], w["left"], place, body[a : w["pos"] + w["right"]]))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 5 + (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=[x.split()[0] for x in CONTEXTS.split(", ")])
+        if not batch.num_rows:
+            continue
+        data, cuts = text_bytes(as_strings(batch.column(1)))
+        lists = batch.column(2)
+        wanted, of = lists.flatten(), np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        pos, left, right = (wanted.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("pos", "left", "right"))
+        seeds = mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), 11)
+        with np.errstate(over="ignore"):
+            place = seeds[of] + (pos - left).astype(np.uint64)
+        first, length = cuts[of] + pos - left, left + right
+        ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+        bodies = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data[ragged(first, length)].tobytes())])
+        plain = [wanted.field(k).cast(pa.int64()) for k in ("anchor", "context", "copies", "classes", "part")]
+        yield pa.RecordBatch.from_arrays([*plain, pa.array(left.astype(np.int32)), pa.array(place.view(np.int64)), bodies], names=[x.split()[0] for x in CONTEXTS.split(", ")])
 
 
 def _pieces(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -330,13 +334,15 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, grain: int = GRAIN, s
     spark = rows.sparkSession
     found = written(rows.mapInArrow(_anchor_rows(length, grain), "uid long, pos int, left short, right short, anchor long, context long"), "anchors")
     often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("context") < F.max("context")).alias("mixed")).where("n > 1")
-    seen = written(found.join(often.select("anchor", "mixed"), "anchor"), "repeated")
+    often = written(often.select("anchor", "mixed"), "often")  # so that the join can split hot anchors
+    seen = written(found.join(often, "anchor"), "repeated")
     whole = F.struct((F.col("pos") - F.col("left")).alias("first"), (F.col("pos") + F.col("right") - F.lit(length)).alias("last"))
     plain = seen.where("NOT mixed").select("uid", whole.alias("r"))
 
     classes = seen.where("mixed").groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("uid", "pos", "left", "right")).alias("one"))
+    classes = written(classes, "counted")
     sizes = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes"))
-    classes = classes.join(sizes, "anchor").withColumn("part", F.expr(f"pmod(context, ceil(classes / {shard_classes}))"))
+    classes = classes.join(written(sizes, "sizes"), "anchor").withColumn("part", F.expr(f"pmod(context, ceil(classes / {shard_classes}))"))
     classes = written(classes, "classes")
     n = classes.count()
     wanted = classes.groupBy("one.uid").agg(F.collect_list(F.struct("one.pos", "one.left", "one.right", "anchor", "context", "copies", "classes", "part")).alias("wanted"))
