@@ -116,3 +116,28 @@ def release_memory() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
+
+
+def record_batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def blobs(bucket: np.ndarray, **columns: np.ndarray) -> dict[str, pa.Array]:
+    """One row for each bucket, with the bytes of its part of each column."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(bucket))
+    rows = {"bucket": pa.array(bucket[first].astype(np.int32))}
+    for name, values in columns.items():
+        values = values[order]
+        rows[name] = pa.array([values[a:b].tobytes() for a, b in zip(first, last, strict=True)], pa.binary())
+    return rows
+
+
+def gathered(batches: Iterator[pa.RecordBatch], **kinds: str) -> list[np.ndarray]:
+    parts: dict[str, list] = {name: [np.zeros(0, kind)] for name, kind in kinds.items()}
+    for batch in batches:
+        for name, kind in kinds.items():
+            parts[name] += [np.frombuffer(x, kind) for x in batch.column(name).to_pylist()]
+    return [np.concatenate(parts[name]) for name in kinds]
