@@ -26,6 +26,8 @@ HEX = "[0-9a-f]{24,}"
 LEAST_ASSIGNED = 6
 KINDS = ("assign", "access", "hex", "markov")
 
+#: Findings of a text that are gone through at a time.
+BLOCK = 64
 LEAST_RUN = 20
 RUN = f"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}"
 #: Characters that join a secret to other text, characters of a stretch at least, and the fall of its sum that ends it.
@@ -71,12 +73,19 @@ def train(samples: DataFrame) -> list[float]:
 
 
 def _found(pattern: str, keep: str = "true") -> str:
-    """Spans of the leftmost matches of pattern in t that do not overlap: the text splits into what lies between them."""
+    """Spans of the leftmost matches of pattern in t that do not overlap: the text splits into what lies between them.
+
+    Places are summed up within blocks of BLOCK matches and then over blocks, since a fold that grows an array
+    copies it at every step.
+    """
     p = pattern.replace("\\", "\\\\").replace("'", "\\'").replace('"', '\\"')
     step = f"struct(concat(a.spans, IF({keep}, array(struct(a.at + length(g[i]) AS s, a.at + length(g[i]) + length(m[i]) AS e, m[i] AS m)), array())) AS spans, a.at + length(g[i]) + length(m[i]) AS at)"
     empty = "CAST(array() AS array<struct<s: int, e: int, m: string>>)"
-    fold = f"aggregate(sequence(0, size(m) - 1), struct({empty} AS spans, 0 AS at), (a, i) -> {step}, a -> a.spans)"
-    return f"transform(array(regexp_extract_all(t, '{p}', 0)), m -> IF(size(m) = 0, {empty}, transform(array(split(t, '{p}', -1)), g -> {fold})[0]))[0]"
+    fold = f"aggregate(sequence(j * {BLOCK}, least(size(m), j * {BLOCK} + {BLOCK}) - 1), struct({empty} AS spans, 0 AS at), (a, i) -> {step})"
+    blocks = f"transform(sequence(0, CAST((size(m) - 1) DIV {BLOCK} AS INT)), j -> {fold})"
+    starts = "aggregate(d, array(0), (a, x) -> concat(a, array(element_at(a, -1) + x.at)))"
+    moved = f"flatten(zip_with(d, slice({starts}, 1, size(d)), (x, o) -> transform(x.spans, z -> struct(z.s + o AS s, z.e + o AS e, z.m AS m))))"
+    return f"transform(array(regexp_extract_all(t, '{p}', 0)), m -> IF(size(m) = 0, {empty}, transform(array(split(t, '{p}', -1)), g -> transform(array({blocks}), d -> {moved})[0])[0]))[0]"
 
 
 def _stretches(model: list[float], ratio: float) -> str:
@@ -112,9 +121,11 @@ def find(docs: DataFrame, model: list[float], text_col: str = "text", ratio: flo
     rows = docs.select(*(c for c in docs.columns if c not in taken), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = rows.select("*", F.explode(F.array(F.expr(f"struct({one})"))).alias("f"))
     tagged = "concat(" + ", ".join(f"transform(f.k{i}, x -> struct(x.s AS s, {i} AS kind, x.e AS e))" for i in range(3)) + ")"
-    inside = "exists(b, y -> y.s <= x.s AND x.e <= y.e)"
+    blocks = f"transform(IF(size(b) = 0, array(), sequence(0, CAST((size(b) - 1) DIV {BLOCK} AS INT))), j -> transform(array(slice(b, j * {BLOCK} + 1, {BLOCK})), y -> struct(y AS items, y[0].s AS low, array_max(transform(y, z -> z.e)) AS high))[0])"
+    inside = "exists(c, y -> y.low <= x.s AND x.e <= y.high AND exists(y.items, z -> z.s <= x.s AND x.e <= z.e))"
     extra = f"transform(filter(flatten(transform(f.k3, x -> {_stretches(model, ratio)})), x -> NOT {inside}), x -> struct(x.s AS s, 3 AS kind, x.e AS e))"
-    both = _let("b", tagged, f"IF(size(f.k3) = 0, struct(array_sort(b) AS base, 0 AS more, array_sort(b) AS whole), {_let('w', extra, 'struct(array_sort(b) AS base, size(w) AS more, array_sort(concat(b, w)) AS whole)')})")
+    extra = _let("c", blocks, extra)
+    both = _let("b", f"array_sort({tagged})", f"IF(size(f.k3) = 0, struct(b AS base, 0 AS more, b AS whole), {_let('w', extra, 'struct(b AS base, size(w) AS more, array_sort(concat(b, w)) AS whole)')})")
     result = F.array(
         F.struct(
             *(F.expr(f"CAST(size(f.k{i}) AS BIGINT)").alias(f"n_{KINDS[i]}") for i in range(3)),
