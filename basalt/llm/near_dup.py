@@ -116,6 +116,9 @@ def _across(sets: DataFrame, low: int, of: int) -> DataFrame:
     posted = shared.withColumn("own", F.col("n") - F.size("shared")).withColumn("shared", F.slice("shared", F.lit(1), F.greatest(reach, F.lit(0)).cast("int")))
     posted = posted.select("doc_id", "component", "n", "own", F.posexplode("shared").alias("k", "z")).where("z.mixed")
     posted = written(posted.select("doc_id", "component", "n", (F.col("n") - F.col("own") - F.col("k")).alias("behind"), F.col("z.s").alias("s"), F.col("z.x").alias("x")), "rarest")
+    # what no other row of its list can reach goes before rows are paired
+    bounds = written(posted.groupBy("s").agg(F.min("n").alias("least_n"), F.max("behind").alias("most_behind")), "bounds")
+    posted = posted.join(bounds, "s").where(F.lit(of + low) * F.least("behind", "most_behind") >= F.lit(low) * (F.col("n") + F.col("least_n"))).drop("least_n", "most_behind")
     p, q = posted.where("component <> x").alias("p"), posted.alias("q")
     once = (F.col("q.component") == F.col("q.x")) | (F.col("p.doc_id") < F.col("q.doc_id"))
     enough = F.lit(of + low) * F.least("p.behind", "q.behind") >= F.lit(low) * (F.col("p.n") + F.col("q.n"))
