@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from basalt.llm.common import record_batch
 from basalt.llm.shingles import mix
 
 PROBES = 6
@@ -53,9 +54,14 @@ class BlockedBloom:
         return found
 
 
+#: Partial filters that are merged at most, and pieces that each is cut into for that.
+PARTIAL, SLICES = 64, 16
+
+
 def build(keys: DataFrame, size: int, most_bytes: int = 8 << 20) -> BlockedBloom:
-    """A filter of the one long column of keys. Tasks make filters of the same fixed size; the driver merges them one at a time."""
+    """A filter of the one long column of keys. Tasks make filters of the same fixed size and merge them piece by piece; the driver gets one."""
     blocks = BlockedBloom.sized(size, most_bytes=most_bytes).blocks
+    cut = min(SLICES, blocks)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = BlockedBloom(blocks), False
@@ -64,10 +70,17 @@ def build(keys: DataFrame, size: int, most_bytes: int = 8 << 20) -> BlockedBloom
                 own.add(np.unique(batch.column(0).drop_null().to_numpy(zero_copy_only=False).view(np.uint64)))
                 seen = True
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([own.words.tobytes()], pa.binary())], names=["words"])
+            yield record_batch({"slice": pa.array(range(cut), pa.int32()), "words": pa.array([x.tobytes() for x in np.split(own.words, cut)], pa.binary())})
+
+    def merged(table: pa.Table) -> pa.Table:
+        words = np.frombuffer(table.column("words")[0].as_py(), np.uint64).copy()
+        for x in table.column("words")[1:]:
+            words |= np.frombuffer(x.as_py(), np.uint64)
+        return pa.table({"slice": table.column("slice")[:1], "words": pa.array([words.tobytes()], pa.binary())})
 
     whole = BlockedBloom(blocks)
-    few = keys.coalesce(8).mapInArrow(part, "words binary")
-    for row in few.toLocalIterator():
-        whole.words |= np.frombuffer(row.words, np.uint64)
+    width = len(whole.words) // cut
+    few = keys.coalesce(PARTIAL).mapInArrow(part, "slice int, words binary").groupBy("slice").applyInArrow(merged, "slice int, words binary")
+    for row in few.collect():  # SLICES rows, most_bytes in all
+        whole.words[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row.words, np.uint64)
     return whole
