@@ -17,17 +17,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import as_strings, small_batches, written
+from basalt.llm.common import as_strings, record_batch, small_batches, written
 
 BITS = 16
 SIZE = 1 << BITS
 MAX_SAMPLE, EPOCHS = 4096, 3
 ALPHA, BETA, L1, L2, SCALE = 0.5, 1.0, 1e-3, 1e-4, 30.0
-PARTS = 256
 
 
 def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +42,7 @@ def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of each n-gram, and of all under SIZE."""
     df, docs = np.zeros(SIZE, np.int64), 0
     for batch in small_batches(batches, 0, 2 << 20):
         grams, counts = ngrams(as_strings(batch.column(0)))
@@ -52,15 +51,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen[grams[a:b]] = True
             df += seen
         docs += len(counts)
-    if docs:
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % PARTS], pa.int32()), pa.array([docs], pa.int64()), pa.array([df.tobytes()], pa.binary())], names=["part", "docs", "df"])
-
-
-def _added(rows: pa.Table) -> pa.Table:
-    total = np.zeros(SIZE, np.int64)
-    for x in rows.column("df"):
-        total += np.frombuffer(x.as_py(), np.int64)
-    return pa.table({"docs": pa.array([pc.sum(rows.column("docs")).as_py()], pa.int64()), "df": pa.array([total.tobytes()], pa.binary())})
+    at = np.flatnonzero(df)
+    yield record_batch({"gram": pa.array(np.append(at, SIZE).astype(np.int32)), "n": pa.array(np.append(df[at], docs))})
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,10 +130,10 @@ def _fit(idf: bytes):
 def train(rows: DataFrame, max_sample: int = MAX_SAMPLE) -> tuple[list[str], bytes, float] | None:
     """(languages, weights, temperature) from rows (doc_id, text, lang)."""
     known = rows.where("text IS NOT NULL AND lang IS NOT NULL")
-    total, docs = np.zeros(SIZE, np.int64), 0
-    sums = known.select("text").mapInArrow(_frequencies, "part int, docs long, df binary").groupBy("part").applyInArrow(_added, "docs long, df binary")
-    for r in sums.toLocalIterator():  # at most PARTS rows of fixed size
-        total, docs = total + np.frombuffer(r.df, np.int64), docs + r.docs
+    sums = known.select("text").mapInArrow(_frequencies, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # SIZE + 1 rows at most
+    total = np.zeros(SIZE + 1, np.int64)
+    total[sums.column("gram").to_numpy()] = sums.column("n").to_numpy()
+    total, docs = total[:SIZE], int(total[SIZE])
     if not docs:
         return None
     idf = np.where(total > 0, np.log((docs + 1) / (total + 1)) + 1, 0).astype(np.float32)
