@@ -127,7 +127,7 @@ def blobs(bucket: np.ndarray, **columns: np.ndarray) -> dict[str, pa.Array]:
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-    last = np.append(first[1:], len(bucket))
+    last = np.append(first[1:], len(bucket))[: len(first)]
     rows = {"bucket": pa.array(bucket[first].astype(np.int32))}
     for name, values in columns.items():
         values = values[order]
