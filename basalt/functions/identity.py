@@ -6,31 +6,57 @@ import json
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Text that JSON writes as it is: printable ASCII without quote and backslash.
 PLAIN = "^[\\x20-\\x21\\x23-\\x5B\\x5D-\\x7E]*$"
 VERSION = 2
 
 
-def finding_hash(kind: Column, value: Column) -> Column:
-    """sha256 of the canonical JSON of type, version and NFC value; only text that JSON would escape leaves the JVM."""
+def _inside(value: str | None) -> str | None:
+    """The inside of the JSON string of the NFC form."""
+    return None if value is None else json.dumps(unicodedata.normalize("NFC", value))[1:-1]
 
-    @F.pandas_udf("string")
-    def canonical(kinds: pd.Series, values: pd.Series) -> pd.Series:
-        return pd.Series([None if k is None or v is None else json.dumps({"type": k, "v": VERSION, "value": unicodedata.normalize("NFC", v)}, sort_keys=True, separators=(",", ":")) for k, v in zip(kinds, values, strict=True)], dtype=object)
 
-    return F.sha2(F.when(value.rlike(PLAIN), _plain(kind, value)).otherwise(canonical(kind, value)), 256)
+@F.pandas_udf(StringType())
+def _escaped(values: pd.Series) -> pd.Series:
+    return pd.Series([_inside(v) for v in values], dtype=object)
 
 
-def _plain(kind: Column, value: Column) -> Column:
+def _canonical(kind: Column, value: Column) -> Column:
     return F.concat(F.lit('{"type":"'), kind, F.lit(f'","v":{VERSION},"value":"'), value, F.lit('"}'))
 
 
+def finding_hash(kind: Column, value: Column) -> Column:
+    """sha256 of the canonical JSON of type (a plain name), version and NFC value; every row goes to Python, so prefer with_finding_hash."""
+    return F.sha2(_canonical(kind, _escaped(value)), 256)
+
+
 def plain_finding_hash(kind: Column, value: Column) -> Column:
-    """finding_hash for values known to be plain ASCII, as URLs are: no Python in the plan."""
-    return F.sha2(_plain(kind, value), 256)
+    """finding_hash for values known to be printable ASCII without quote and backslash: no Python in the plan."""
+    return F.sha2(_canonical(kind, value), 256)
+
+
+def with_finding_hash(rows: DataFrame, kind: Column, value: str, name: str = "finding_hash") -> DataFrame:
+    """rows with finding_hash; only the distinct values that JSON would escape leave the JVM."""
+    plain = F.coalesce(F.col(value).rlike(PLAIN), F.lit(True))
+    as_is = rows.where(plain).withColumn(name, F.sha2(_canonical(kind, F.col(value)), 256))
+    odd = rows.where(~plain)
+    known = odd.select(value).distinct().mapInPandas(lambda frames: (f.assign(_escaped=f[value].map(_inside)) for f in frames), f"`{value}` string, _escaped string")
+    return as_is.unionByName(odd.join(known, value).withColumn(name, F.sha2(_canonical(kind, F.col("_escaped")), 256)).select(*as_is.columns))
+
+
+def occurrence_hash(**fields: Column) -> Column:
+    """sha256 of the JSON of the fields in order of name, nulls kept. Texts are printable ASCII without quote and backslash."""
+    parts = []
+    for k, (name, field) in enumerate(sorted(fields.items())):
+        text = field.cast("string")
+        quoted = F.concat(F.lit('"'), text, F.lit('"'))
+        number = F.when(F.typeof(field).isin("int", "bigint", "smallint", "tinyint", "boolean"), text).otherwise(quoted)
+        parts += [F.lit(f'{"," if k else ""}"{name}":'), F.coalesce(number, F.lit("null"))]
+    return F.sha2(F.concat(F.lit("{"), *parts, F.lit("}")), 256)
 
 
 def object_key(tenant: Column, run: Column, kind: Column, content: Column) -> Column:

@@ -47,12 +47,23 @@ def template_segment(segment: Column) -> Column:
     return F.when(segment.rlike(INTEGER), "{id}").when(segment.rlike(UUID), "{uuid}").when(segment.rlike(HEX_RUN) | random, "{hash}").otherwise(segment)
 
 
+#: Two hex digits of a letter, a digit or one of `-._~`.
+UNRESERVED = "^(2[DEde]|3[0-9]|4[1-9A-Fa-f]|5[0-9AFaf]|6[1-9A-Fa-f]|7[0-9AEae])"
+
+
+def decode_unreserved(text: Column) -> Column:
+    """Percent-decode letters, digits and `-._~` alone, so that no separator can appear."""
+    parts = F.split(text, "%")
+    decoded = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.when(p.rlike(UNRESERVED), F.concat(F.chr(F.conv(F.left(p, F.lit(2)), 16, 10).cast("int")), F.substring(p, F.lit(3), F.length(p)))).otherwise(F.concat(F.lit("%"), p)))
+    return F.concat(F.element_at(parts, 1), F.array_join(decoded, ""))
+
+
 def segments(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda s: s != "")
 
 
 def template_path(path: Column) -> Column:
-    return F.concat(F.lit("/"), F.array_join(F.transform(segments(path), template_segment), "/"))
+    return F.concat(F.lit("/"), F.array_join(F.transform(segments(path), lambda s: template_segment(decode_unreserved(s))), "/"))
 
 
 def query_keys(query: Column) -> Column:
@@ -76,6 +87,11 @@ def endpoint(method: Column, url: Column) -> Column:
     return F.struct(op.alias("operation"), F.when(keys != "", F.concat(op, F.lit("?"), keys)).otherwise(op).alias("value"), F.when(name != "", name).alias("host"))
 
 
+def operation_of_param(value: Column) -> Column:
+    """The operation in a parameter's value: all before the last space."""
+    return F.regexp_replace(value, " [^ ]*$", "")
+
+
 def operation_of(value: Column) -> Column:
     """The operation in an endpoint's value."""
     return F.split_part(value, F.lit("?"), F.lit(1))

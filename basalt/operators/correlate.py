@@ -16,19 +16,26 @@ def correlate(templates: DataFrame, observed: DataFrame) -> DataFrame:
 
     templates: finding, method, path; observed: method, url. A template aligns with the whole path of a url,
     or, if its first segment is a parameter standing for a host, with the end of it. The join is on method and
-    one constant segment of the template, never on all pairs.
+    one constant segment of the template with its distance from the end: of these the one that the fewest
+    requests have there, so that common segments make few pairs.
     """
     parts = urls.segments(F.col("path"))
     t = templates.withColumn("parts", parts).withColumn("open", F.coalesce(F.try_element_at(F.col("parts"), F.lit(1)).rlike("^\\$\\{[^{}]*\\}$"), F.lit(False)))
     t = t.withColumn("tail", F.when(F.col("open"), F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0)))).otherwise(F.col("parts")))
     t = t.withColumn("constants", F.filter("tail", lambda s: ~s.rlike(PARAMETER))).where("size(constants) > 0")
-    t = t.withColumn("join_segment", F.try_element_at("constants", F.lit(-1))).withColumn("t_size", F.size("tail"))
-    o = observed.distinct().withColumn("seen", urls.segments(urls.part(F.col("url"), urls.PATH))).withColumn("seen_segment", F.explode(F.array_distinct("seen")))
-    pairs = t.join(o, (F.upper(t.method) == F.upper(o.method)) & (t.join_segment == o.seen_segment) & F.when(F.col("open"), F.size("seen") >= F.col("t_size")).otherwise(F.size("seen") == F.col("t_size")))
+    t = t.withColumn("t_size", F.size("tail")).withColumn("verb", F.upper("method"))
+    o = observed.distinct().select(F.upper("method").alias("verb"), "url", urls.segments(urls.part(F.col("url"), urls.PATH)).alias("seen"))
+    at = o.select("verb", "url", "seen", F.posexplode("seen").alias("k", "segment")).withColumn("back", F.size("seen") - F.col("k")).drop("k")
+    common = at.groupBy("verb", "segment", "back").agg(F.count(F.lit(1)).alias("n"))
+    key = ["finding", "method", "path"]
+    fixed = t.select(*key, "verb", "t_size", F.posexplode("tail").alias("k", "segment")).where(~F.col("segment").rlike(PARAMETER)).withColumn("back", F.col("t_size") - F.col("k"))
+    rarest = fixed.join(common, ["verb", "segment", "back"], "left").groupBy(*key).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "segment", "back")).alias("x"))
+    t = t.join(rarest.where("x.n > 0").select(*key, "x.segment", "x.back"), key)
+    pairs = t.join(at, ["verb", "segment", "back"]).where(F.when(F.col("open"), F.size("seen") >= F.col("t_size")).otherwise(F.size("seen") == F.col("t_size")))
     window = F.slice("seen", F.size("seen") - F.size("tail") + 1, F.size("tail"))
     fits = F.forall(F.zip_with("tail", window, lambda a, b: a.rlike(PARAMETER) | (a == b)), lambda x: x)
     score = F.struct(F.size("constants").alias("c"), (-(F.size("seen") - F.size("tail"))).alias("a"))
-    scored = pairs.where(fits).select("finding", "url", score.alias("score"))
+    scored = pairs.where(fits).select("finding", "url", score.alias("score")).distinct()
     best = scored.groupBy("url").agg(F.max("score").alias("score"))
     top = scored.join(best, ["url", "score"]).select("finding", "url")
     alone = top.groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.min("finding").alias("finding")).where("n = 1")
@@ -97,3 +104,25 @@ def base_url_overlay(operations: DataFrame, rules: DataFrame) -> DataFrame:
     o = operations.select("operation").distinct().withColumn("path_prefix", F.explode(prefixes))
     hit = o.join(rules, "path_prefix").groupBy("operation").agg(F.max(F.struct(F.length("path_prefix").alias("n"), (-F.col("ord")).alias("o"), "base_url"))["base_url"].alias("base_url"))
     return operations.select("operation").distinct().join(hit, "operation", "left")
+
+
+#: Segments that name their own parameter, and a segment that is one clean `{name}` or `${name}`.
+OWN_NAMES = ("{id}", "{uuid}", "{hash}")
+SINGLE = "^\\$?\\{([A-Za-z_][A-Za-z0-9_]*)\\}$"
+
+
+def canonical_path(path: Column) -> Column:
+    """The path with every interpolated segment as `{name}`, names made unique by a number; a mixed segment is `{pN}` by position."""
+    parts = F.split(path, "/")
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("names"), F.lit(0).alias("mixed"))
+
+    def step(a: Column, s: Column) -> Column:
+        open_ = s.isin(*OWN_NAMES) | s.rlike("[{}$]")
+        single = F.regexp_extract(s, SINGLE, 1)
+        mixed = a["mixed"] + F.when(open_ & (single == ""), 1).otherwise(0)
+        base = F.when(single != "", single).otherwise(F.concat(F.lit("p"), mixed.cast("string")))
+        free = F.filter(F.transform(F.sequence(F.lit(1), F.size(a["names"]) + 1), lambda k: F.when(k == 1, base).otherwise(F.concat(base, k.cast("string")))), lambda n: ~F.array_contains(a["names"], n))
+        name = F.element_at(free, 1)
+        return F.struct(F.concat(a["out"], F.array(F.when(open_, F.concat(F.lit("{"), name, F.lit("}"))).otherwise(s))).alias("out"), F.when(open_, F.concat(a["names"], F.array(name))).otherwise(a["names"]).alias("names"), mixed.alias("mixed"))
+
+    return F.aggregate(parts, start, step, lambda a: F.array_join(a["out"], "/"))

@@ -12,6 +12,7 @@ from basalt.operators import intervals
 from basalt.plans import sql
 from basalt.plans.scans import SCOPE, SUFFIXES
 from basalt.sources.views import endpoints, links, table
+from basalt.streaming import events
 
 DOCUMENTED = ("GET /fr/{id}", "GET /v1/en/{code}", "POST /de/{id}", "GET /es", "GET /es/{a}/{b}")
 RULES = ((0, "https://api.example.com", "/fr"), (1, "https://edge.example.com", "/"), (2, "https://second.example.com", "/fr"))
@@ -59,9 +60,8 @@ def c12_base_url_overlay(spark: SparkSession, sf: str) -> DataFrame:
 
 def c18_context_join(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
-    a, b = e.where("event_type = 'signup'").alias("a"), e.where("event_type = 'purchase'").alias("b")
-    near = (F.col("a.user_id") == F.col("b.user_id")) & (F.col("b.ts") >= F.col("a.ts")) & (F.col("b.ts") <= F.col("a.ts") + F.expr("INTERVAL 60 MINUTES"))
-    return a.join(b, near).groupBy(F.col("a.event_id").alias("context")).agg(F.min("b.event_id").alias("completion"))
+    pairs = intervals.within_after(e.where("event_type = 'signup'"), e.where("event_type = 'purchase'"), "user_id", "ts", 3600)
+    return pairs.groupBy(F.col("a.event_id").alias("context")).agg(F.min("b.event_id").alias("completion"))
 
 
 def d01_finding_merge(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,7 +71,7 @@ def d01_finding_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def d02_occurrence_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    rows = links(spark, sf).select("page_id", "run_id", "href", F.col("ordinal").cast("long").alias("ordinal"), (F.col("page_id") * 1000 + F.col("ordinal")).alias("place"))
+    rows = links(spark, sf).select("page_id", "run_id", "href", F.col("ordinal").cast("long").alias("ordinal"), F.struct("page_id", "ordinal").alias("place"))
     return merge.dedupe_occurrences(rows, ["run_id", "href"], "place", ["page_id", "ordinal"])
 
 
@@ -156,12 +156,12 @@ def e08_capped(spark: SparkSession, sf: str) -> DataFrame:
 def f02_merge_spans(spark: SparkSession, sf: str) -> DataFrame:
     start = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
     e = table(spark, sf, "events").select("user_id", start.alias("start"), (start + (F.col("value") * 60e6).cast("long")).alias("end"))
-    return intervals.merge_spans(e, ["user_id"], "start", "end")
+    return intervals.merge_spans(e, ["user_id"], "start", "end", slot=86_400_000_000)
 
 
 def f06_run_diff(spark: SparkSession, sf: str) -> DataFrame:
     ep = endpoints(spark, sf)
-    return merge.run_diff(ep.where("run_id = 0"), ep.where("run_id = 1"), "finding_hash", complete=True)
+    return merge.run_diff(ep.where("run_id < 4"), ep.where("run_id >= 4"), "finding_hash", complete=True)
 
 
 def k19_servers(spark: SparkSession, sf: str) -> DataFrame:
@@ -200,10 +200,18 @@ def m10_session_throttle(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def m13_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """done of total (60, 80 or 100, as the last event says) for each stage."""
     k = F.get_json_object("props", "$.k").cast("long")
-    e = table(spark, sf, "events").select("user_id", "event_type", "event_id", k.alias("done"))
-    top = e.groupBy("user_id", "event_type").agg(F.max_by("done", "event_id").alias("done"))
-    return top.select("user_id", "event_type", "done", F.coalesce(merge.percent(F.col("done"), F.lit(100)), F.lit(0)).alias("percent"))
+    e = table(spark, sf, "events").select("user_id", "event_type", "event_id", F.least(k, F.lit(60)).alias("done"), (F.lit(60) + F.pmod("event_id", F.lit(3)) * 20).cast("long").alias("total"))
+    top = e.groupBy("user_id", "event_type").agg(F.max(F.struct("event_id", "done", "total")).alias("x"))
+    return top.select("user_id", "event_type", "x.done", "x.total", F.coalesce(merge.percent(F.col("x.done"), F.col("x.total")), F.lit(0)).alias("percent"))
+
+
+def m06_guarded_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """The state of each user after all events in order, under the rules of the stream's fold."""
+    state = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "view", "running").when(F.col("event_type") == "click", "paused").when(F.col("event_type") == "purchase", "done").otherwise("failed")
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", state.alias("s")))).alias("log"))
+    return e.select("user_id", events.folded(F.transform("log", lambda x: x["s"])).alias("state"))
 
 
 def m15_content_dedupe(spark: SparkSession, sf: str) -> DataFrame:
@@ -236,7 +244,7 @@ QUERIES = {
     "c12_base_url_overlay": (c12_base_url_overlay, f"WITH {E}, o AS (SELECT DISTINCT operation, split_part(operation, ' ', 2) AS p FROM ep) SELECT operation, CASE WHEN p = '/fr' OR starts_with(p, '/fr/') THEN 'https://api.example.com' ELSE 'https://edge.example.com' END AS base_url FROM o"),
     "c18_context_join": (c18_context_join, "SELECT a.event_id AS context, min(b.event_id) AS completion FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'signup' AND b.event_type = 'purchase' AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 60 MINUTES GROUP BY a.event_id"),
     "d01_finding_merge": (d01_finding_merge, f"WITH {E}, r AS (SELECT *, CASE WHEN run_id < 6 THEN 'fetch' ELSE 'xhr' END AS kind FROM ep) SELECT finding_hash, arg_min(host, page_id) FILTER (host IS NOT NULL) AS host, min(value) AS value, array_to_string(list_sort(list_distinct(string_split(split_part(min(value), '?', 2), '&'))), ',') AS tags, CASE WHEN count(DISTINCT kind) = 1 THEN min(kind) END AS kind, count(*) AS sightings FROM r GROUP BY finding_hash"),
-    "d02_occurrence_dedupe": (d02_occurrence_dedupe, f"WITH {L} SELECT run_id, href, arg_min(page_id, page_id * 1000 + ordinal) AS page_id, arg_min(ordinal, page_id * 1000 + ordinal) AS ordinal, count(*) AS copies FROM links GROUP BY run_id, href"),
+    "d02_occurrence_dedupe": (d02_occurrence_dedupe, f"WITH {L} SELECT run_id, href, arg_min(page_id, (page_id, ordinal)) AS page_id, arg_min(ordinal, (page_id, ordinal)) AS ordinal, count(*) AS copies FROM links GROUP BY run_id, href"),
     "d05_coverage": (d05_coverage, f"WITH e AS (SELECT user_id, event_id, {K} AS a, {K} % 7 AS u, event_type FROM events), c AS (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN CAST(sum(a) AS BIGINT) ELSE arg_max(a, event_id) END AS attributed, CASE WHEN user_id % 2 = 0 THEN CAST(sum(u) AS BIGINT) ELSE arg_max(u, event_id) END AS unattributed, bool_or(event_type = 'error') AS failed, arg_max(event_type, event_id) AS source_map FROM e GROUP BY user_id) SELECT *, CASE WHEN attributed + unattributed > 0 THEN CAST(round_even(100.0 * attributed / (attributed + unattributed), 0) AS BIGINT) END AS percent FROM c"),
     "d08_type_counts": (d08_type_counts, "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL"),
     "d09_percent": (d09_percent, "SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) AS total, CAST(round_even(100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*), 0) AS BIGINT) AS percent FROM orders GROUP BY o_custkey"),
@@ -252,13 +260,14 @@ QUERIES = {
     "e07_top_priority": (e07_top_priority, "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END, value DESC, event_id) AS INTEGER) AS place FROM events QUALIFY place <= 6"),
     "e08_capped": (e08_capped, f"WITH {E} SELECT host, page_id, CAST(row_number() OVER (PARTITION BY host ORDER BY url, page_id) AS INTEGER) AS place, count(*) OVER (PARTITION BY host) > 3 AS capped FROM ep WHERE host IS NOT NULL QUALIFY place <= 3"),
     "f02_merge_spans": (f02_merge_spans, 'WITH s AS (SELECT user_id, epoch_us(ts) AS "start", epoch_us(ts) + CAST(trunc(value * 60e6) AS BIGINT) AS "end" FROM events), m AS (SELECT *, CASE WHEN "start" <= max("end") OVER (PARTITION BY user_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM s), i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT user_id, min("start") AS "start", max("end") AS "end" FROM i GROUP BY user_id, island'),
-    "f06_run_diff": (f06_run_diff, f"WITH {E}, b AS (SELECT DISTINCT finding_hash FROM ep WHERE run_id = 0), a AS (SELECT DISTINCT finding_hash FROM ep WHERE run_id = 1) SELECT coalesce(a.finding_hash, b.finding_hash) AS finding_hash, CASE WHEN b.finding_hash IS NULL THEN 'added' WHEN a.finding_hash IS NULL THEN 'removed' ELSE 'kept' END AS change FROM b FULL JOIN a ON a.finding_hash = b.finding_hash"),
+    "f06_run_diff": (f06_run_diff, f"WITH {E}, b AS (SELECT DISTINCT finding_hash FROM ep WHERE run_id < 4), a AS (SELECT DISTINCT finding_hash FROM ep WHERE run_id >= 4) SELECT coalesce(a.finding_hash, b.finding_hash) AS finding_hash, CASE WHEN b.finding_hash IS NULL THEN 'added' WHEN a.finding_hash IS NULL THEN 'removed' ELSE 'kept' END AS change FROM b FULL JOIN a ON a.finding_hash = b.finding_hash"),
     "k19_servers": (k19_servers, f"WITH {E} SELECT host, max(regexp_extract(url, {sql.URL}, 1)) || '://' || host AS origin FROM ep WHERE host IS NOT NULL GROUP BY host"),
     "l01_insert_or_ignore": (l01_insert_or_ignore, f"WITH {E} SELECT run_id, finding_hash, min(page_id) AS page_id FROM ep WHERE page_id % 2 = 1 AND (run_id, finding_hash) NOT IN (SELECT (run_id, finding_hash) FROM ep WHERE page_id % 2 = 0) GROUP BY ALL"),
     "l03_coalesce_upsert": (l03_coalesce_upsert, f"SELECT user_id, arg_max(event_type, event_id) AS status, arg_max({K}, event_id) FILTER ({K} % 3 = 0) AS note FROM events GROUP BY user_id"),
     "m06_state_fold": (m06_state_fold, "WITH e AS (SELECT user_id, date_trunc('day', ts) AS day, event_type, CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE -1 END AS r FROM events) SELECT user_id, CAST(day AS TIMESTAMP) AS day, arg_max(event_type, r) AS state FROM e WHERE r >= 0 GROUP BY user_id, day"),
     "m08_tumbling_budget": (m08_tumbling_budget, "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS slot, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 14"),
     "m10_session_throttle": (m10_session_throttle, "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS fresh FROM events WHERE event_type = 'error' WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS first, count(*) AS n FROM s GROUP BY user_id, k HAVING count(*) >= 3"),
-    "m13_progress": (m13_progress, f"SELECT user_id, event_type, arg_max({K}, event_id) AS done, arg_max({K}, event_id) AS percent FROM events GROUP BY ALL"),
+    "m06_guarded_fold": (m06_guarded_fold, "WITH e AS (SELECT user_id, list(CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 5 ELSE 4 END ORDER BY event_id) AS log FROM events GROUP BY user_id) SELECT user_id, ['queued', 'running', 'paused', 'failed', 'done'][list_reduce(log, lambda a, x: CASE WHEN a >= 4 THEN a WHEN x >= 3 OR a = 3 OR x > a THEN x ELSE a END)] AS state FROM e"),
+    "m13_progress": (m13_progress, f"WITH e AS (SELECT user_id, event_type, event_id, least({K}, 60) AS done, 60 + event_id % 3 * 20 AS total FROM events) SELECT user_id, event_type, done, total, CAST(round_even(100.0 * done / total, 0) AS BIGINT) AS percent FROM e QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1"),
     "m15_content_dedupe": (m15_content_dedupe, "SELECT sha256(text) AS sha, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1"),
 }

@@ -3,6 +3,10 @@
 URL = r"'^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$'"
 
 
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def segments(path: str) -> str:
     return f"list_filter(string_split({path}, '/'), lambda s: s <> '')"
 
@@ -23,8 +27,22 @@ TEMPLATE = (
 )
 
 
+def decode_unreserved(text: str) -> str:
+    part = "CASE WHEN regexp_matches(p, '^(2[DEde]|3[0-9]|4[1-9A-Fa-f]|5[0-9AFaf]|6[1-9A-Fa-f]|7[0-9AEae])') THEN url_decode('%' || left(p, 2)) || substr(p, 3) ELSE '%' || p END"
+    return f"split_part({text}, '%', 1) || coalesce(array_to_string(list_transform(string_split({text}, '%')[2:], lambda p: {part}), ''), '')"
+
+
 def template_path(path: str) -> str:
-    return "'/' || " + joined(f"list_transform({segments(path)}, lambda s: {TEMPLATE})")
+    decoded = f"list_transform({segments(path)}, lambda d: {decode_unreserved('d')})"
+    return "'/' || " + joined(f"list_transform({decoded}, lambda s: {TEMPLATE})")
+
+
+def json_text(value: str) -> str:
+    """The inside of a JSON string as ASCII, of the composed form of value."""
+    code = "ord(c)"
+    pair = f"printf('\\u%04x\\u%04x', 55296 + ({code} - 65536) // 1024, 56320 + ({code} - 65536) % 1024)"
+    one = f"CASE WHEN c = '\"' THEN '\\\"' WHEN c = '\\' THEN '\\\\' WHEN {code} = 8 THEN '\\b' WHEN {code} = 9 THEN '\\t' WHEN {code} = 10 THEN '\\n' WHEN {code} = 12 THEN '\\f' WHEN {code} = 13 THEN '\\r' WHEN {code} > 65535 THEN {pair} WHEN {code} < 32 OR {code} > 126 THEN printf('\\u%04x', {code}) ELSE c END"
+    return f"coalesce(array_to_string(list_transform(regexp_extract_all(nfc_normalize({value}), '(?s).'), lambda c: {one}), ''), '')"
 
 
 def query_keys(query: str) -> str:
@@ -41,7 +59,7 @@ ENDPOINTS = f"""
 u AS (SELECT page_id, page_id % 8 AS run_id, url, nullif({host('url')}, '') AS host, regexp_extract(url, {URL}, 3) AS path, regexp_extract(url, {URL}, 4) AS query FROM pages WHERE url IS NOT NULL),
 v AS (SELECT page_id, run_id, url, host, path, 'GET ' || {template_path('path')} AS operation, {query_keys('query')} AS keys FROM u),
 w AS (SELECT page_id, run_id, url, host, path, operation, keys, operation || CASE WHEN keys <> '' THEN '?' || keys ELSE '' END AS value FROM v),
-ep AS (SELECT *, sha256('{{"type":"endpoint","v":2,"value":"' || value || '"}}') AS finding_hash FROM w)"""
+ep AS (SELECT *, sha256('{{"type":"endpoint","v":2,"value":"' || {json_text('value')} || '"}}') AS finding_hash FROM w)"""
 
 #: links: page_id, run_id, url, ordinal, href.
 LINKS = """

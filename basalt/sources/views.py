@@ -23,7 +23,7 @@ def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page as an observed GET: run_id, page_id, operation, value, host, finding_hash."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url").where("url IS NOT NULL")
     rows = pages.select("page_id", "url", F.pmod("page_id", F.lit(RUNS)).alias("run_id"), urls.endpoint(F.lit("GET"), F.col("url")).alias("e"))
-    return rows.select("page_id", "url", "run_id", "e.operation", "e.value", "e.host").withColumn("finding_hash", identity.plain_finding_hash(F.lit("endpoint"), F.col("value")))
+    return identity.with_finding_hash(rows.select("page_id", "url", "run_id", "e.operation", "e.value", "e.host"), F.lit("endpoint"), "value")
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Streams of run events: budgets, throttles, dedupe, state, and joins with a time limit.
 
 Every function takes a streaming or a batch DataFrame with an event time and gives the same rows for both
-once the stream has ended; state is bounded by the watermark.
+once the stream has ended. State is bounded by the watermark; run_states alone keeps one short text for each run.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -33,7 +33,10 @@ def throttled(failures: DataFrame, time: str, key: str, gap: str, least: int, la
 def deduped(contents: DataFrame, time: str, content: str, late: str = "1 hour") -> DataFrame:
     """The first sighting of each content within the watermark."""
     hashed = contents.withColumn("content_hash", F.sha2(F.col(content).cast("binary"), 256))
-    return hashed.withWatermark(time, late).dropDuplicatesWithinWatermark(["content_hash"]) if contents.isStreaming else hashed.dropDuplicates(["content_hash"])
+    if contents.isStreaming:
+        return hashed.withWatermark(time, late).dropDuplicatesWithinWatermark(["content_hash"])
+    first = F.min(F.struct(time, F.struct(*contents.columns).alias("row")))["row"]
+    return hashed.groupBy("content_hash").agg(first.alias("row")).select("row.*", "content_hash")
 
 
 def context_join(contexts: DataFrame, completions: DataFrame, key: str, limit: str = "5 minutes", late: str = "1 minute") -> DataFrame:
@@ -53,6 +56,18 @@ def fold_state(state: str | None, events: list[str]) -> str | None:
     return state
 
 
+def folded(log: Column) -> Column:
+    """fold_state() over an array of states, without leaving the JVM."""
+    rank = F.create_map(*(F.lit(x) for k, name in enumerate(STATES) for x in (name, k)))
+
+    def step(state: Column, event: Column) -> Column:
+        moves = state.isNull() | event.isin(*TERMINAL, "paused") | (state == "paused") | (F.try_element_at(rank, event) > F.try_element_at(rank, state))
+        known = event.isin(*STATES) & ~F.coalesce(state.isin(*TERMINAL), F.lit(False))
+        return F.when(F.coalesce(known & moves, F.lit(False)), event).otherwise(state)
+
+    return F.aggregate(log, F.lit(None).cast("string"), step)
+
+
 def run_states(events: DataFrame, run: str, order: str, state: str) -> DataFrame:
     """run, state after every micro-batch in which the run has events; (order, state) pairs are folded in order."""
 

@@ -45,3 +45,25 @@ def test_run_states(spark, tmp_path):
 
 def test_fold_twin():
     assert events.fold_state(None, ["running", "queued", "failed", "done"]) == "failed"
+
+
+def test_throttle(feed):
+    batch, stream, path = feed
+    make = lambda d: events.throttled(d, "ts", "key", "40 seconds", 3)
+    got, want = rows(drained(make(stream), path, "throttle")), rows(make(batch))
+    # a session that the watermark hasn't passed is still open on the stream
+    assert want and set(got) <= set(want)
+
+
+def test_context_join(feed):
+    batch, stream, path = feed
+    # a row at the epoch is late for a new stream, whose watermark starts there
+    half = lambda d, k: d.where(f"unix_seconds(ts) > 0 AND unix_seconds(ts) % 2 = {k}")
+    make = lambda d: events.context_join(half(d, 0), half(d, 1), "key", "40 seconds")
+    got, want = rows(drained(make(stream), path, "context")), rows(make(batch))
+    assert got == want and want
+
+
+def test_batch_dedupe_keeps_the_first(spark):
+    given = spark.createDataFrame([(3, "a"), (1, "a"), (2, "b")], "t int, c string").select(F.timestamp_seconds("t").alias("ts"), "c", F.col("t"))
+    assert sorted((r.t, r.c) for r in events.deduped(given, "ts", "c").collect()) == [(1, "a"), (2, "b")]
