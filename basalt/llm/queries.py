@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm import class_lm, decontaminate, langid, near_dup, packing, quality, repeats, secrets, token_table, urlfilter
+from basalt.llm import ball_tree, byte_bpe, class_lm, decontaminate, dialogue, langid, near_dup, packing, quality, repeats, secrets, token_table, urlfilter
 from basalt.llm.common import crc_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,19 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, width=64, scale=256, seed="2:")
+
+
+def op12_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dialogue.damaged(table(spark, sf_dir, "conversations"))
+    return dialogue.report(dialogue.repair(rows, F.col("present")))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -96,6 +109,9 @@ def queries() -> dict[str, Query]:
         "op8_near_dup": op8_near_dup,
         "op9_language_id": op9_language_id,
         "op10_repeats": op10_repeats,
+        "op11_ball_tree": op11_ball_tree,
+        "op12_dialogue": op12_dialogue,
+        "op13_byte_bpe": op13_byte_bpe,
     }
 
 
