@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.plans import intake, labels, models, reads, scans
+from basalt.plans import intake, labels, models, reads, scans, technologies
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_ALL = scans.QUERIES | models.QUERIES | labels.QUERIES | reads.QUERIES | intake.QUERIES
+_ALL = scans.QUERIES | models.QUERIES | labels.QUERIES | reads.QUERIES | intake.QUERIES | technologies.QUERIES
 
 
 def queries() -> dict[str, Query]:

@@ -345,7 +345,7 @@ def m07_absolute_max(spark: SparkSession, sf: str) -> DataFrame:
 
 def _signals(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages").where("url IS NOT NULL AND html IS NOT NULL")
-    return pages.select(urls.host(F.col("url")).alias("host"), F.lit("markup").alias("surface"), F.lit("").alias("key"), F.col("html").alias("value"))
+    return pages.select(urls.host(F.col("url")).alias("host"), F.lit("markup").alias("surface"), F.lit("").alias("key"), F.col("html").alias("value"), F.col("page_id").alias("ord"))
 
 
 def _rules(spark: SparkSession) -> DataFrame:
@@ -382,7 +382,7 @@ _STATES = ["queued", *labels.STAGES, "paused", *labels.TERMINAL]
 _ACTIVE = str(tuple(labels.STAGES))
 _LEGAL = f"(a, b) IN (('queued', 'discovering'), ('discovering', 'fetching'), ('fetching', 'ingesting'), ('ingesting', 'analyzing'), ('analyzing', 'correlating'), ('correlating', 'done'), ('queued', 'paused'), ('queued', 'cancelled'), ('paused', 'cancelled'), ('paused', 'failed')) OR a IN {_ACTIVE} AND b IN ('paused', 'failed', 'cancelled', 'partial') OR a = 'paused' AND b IN {_ACTIVE}"
 _VALUES = ["a\\;version:\\1", "b\\;confidence:50\\;version:x", "c", "d\\;confidence:high", "e\\;version:1\\;version:2"]
-_TECH = f"WITH p AS (SELECT {sql.host('url')} AS host, html FROM pages WHERE url IS NOT NULL AND html IS NOT NULL), h AS (SELECT host, 'html5' AS tech, 100 AS c, NULL AS v FROM p WHERE regexp_matches(html, '(?i)<!doctype html>') UNION ALL SELECT host, 'tracker', 40, 'v' || regexp_extract(html, 'track\\(([0-9])([0-9]*)\\)', 1) || '.x' FROM p WHERE regexp_matches(html, 'track\\([0-9]+\\)') UNION ALL SELECT host, 'ads', 100, NULL FROM p WHERE contains(html, 'class=\"ad\"') UNION ALL SELECT host, 'numbered', 30, regexp_extract(html, 'track\\(([0-9])\\)', 1) FROM p WHERE regexp_matches(html, 'track\\([0-9]\\)')) SELECT host, tech, CAST(least(sum(c), 100) AS BIGINT) AS confidence, arg_max(v, (length(v), v)) AS version FROM h GROUP BY ALL"
+_TECH = f"WITH p AS (SELECT {sql.host('url')} AS host, page_id, html FROM pages WHERE url IS NOT NULL AND html IS NOT NULL), h AS (SELECT host, page_id, 'html5' AS tech, 100 AS c, NULL AS v FROM p WHERE regexp_matches(html, '(?i)<!doctype html>') UNION ALL SELECT host, page_id, 'tracker', 40, 'v' || regexp_extract(html, 'track\\(([0-9])([0-9]*)\\)', 1) || '.x' FROM p WHERE regexp_matches(html, 'track\\([0-9]+\\)') UNION ALL SELECT host, page_id, 'ads', 100, NULL FROM p WHERE contains(html, 'class=\"ad\"') UNION ALL SELECT host, page_id, 'numbered', 30, regexp_extract(html, 'track\\(([0-9])\\)', 1) FROM p WHERE regexp_matches(html, 'track\\([0-9]\\)')) SELECT host, tech, CAST(least(sum(c), 100) AS BIGINT) AS confidence, arg_min(v, page_id) AS version FROM h GROUP BY ALL"
 
 QUERIES = {
     "b03_not_archived": (b03_not_archived, "SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey"),

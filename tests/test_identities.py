@@ -110,8 +110,8 @@ def test_versions_are_filled_once(spark):
 
 
 def test_detections(spark):
-    rules = [("js-a", "js", "jQuery", "\\;confidence:40"), ("js-b", "js", "Vue", "\\;confidence:30"), ("web", "header", "server", "nginx/([0-9.]+)\\;version:\\1\\;confidence:60"), ("web", "js", "ngx", "\\;confidence:90"), ("ck", "cookie", "sid", "")]
-    signals = [("h", "header", "server", "nginx/1.2"), ("h", "header", "via", "nginx/9"), ("h", "scripts", "", "window.jQuery = ngx; notVue"), ("h", "cookie", "sid", "sid")]
+    rules = [("js-a", "js", "jQuery.fn", "\\;confidence:40"), ("js-b", "js", "Vue", "\\;confidence:30"), ("web", "header", "server", "nginx/([0-9.]+)\\;version:\\1\\;confidence:60"), ("web", "js", "__ngx", "\\;confidence:90"), ("ck", "cookie", "sid", "")]
+    signals = [("h", "header", "server", "nginx/1.2"), ("h", "header", "via", "nginx/9"), ("h", "scripts", "", "window.jQuery.fn = __ngx; Vue"), ("h", "cookie", "sid", "sid")]
     parsed = fingerprints.parsed_rules(spark.createDataFrame(rules, "tech string, surface string, key string, value string"))
     got = {r.tech: (r.confidence, r.version) for r in fingerprints.detections(spark.createDataFrame(signals, "host string, surface string, key string, value string"), parsed).collect()}
     assert got == {"js-a": (40, None), "web": (100, "1.2"), "ck": (100, None)}
