@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.plans import intake, labels, models, modules, reads, scans, specs, technologies
+from basalt.plans import intake, keyed, labels, models, modules, reads, scans, specs, technologies
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_ALL = scans.QUERIES | models.QUERIES | labels.QUERIES | reads.QUERIES | intake.QUERIES | technologies.QUERIES | specs.QUERIES | modules.QUERIES
+_ALL = scans.QUERIES | models.QUERIES | labels.QUERIES | reads.QUERIES | intake.QUERIES | technologies.QUERIES | specs.QUERIES | modules.QUERIES | keyed.QUERIES
 
 
 def queries() -> dict[str, Query]:
