@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basalt.functions import labels, urls
-from basalt.operators import correlate, fingerprints, intervals
+from basalt.operators import correlate, fingerprints, intervals, ranks
 from basalt.operators.findings import percent
 from basalt.plans import sql
 from basalt.plans.labels import dealt, pick
@@ -51,9 +51,7 @@ def b15_hosts_sorted(spark: SparkSession, sf: str) -> DataFrame:
 
 def b23_size_limits(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").where("text IS NOT NULL").select("source", "doc_id", F.octet_length("text").cast("long").alias("size")).where("size <= 10000")
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = docs.withColumns({"total": F.sum("size").over(w), "n": F.count(F.lit(1)).over(w)})
-    return rows.where("total <= 50000 AND n <= 40").select("source", "doc_id", "total")
+    return ranks.within_limits(docs, ["source"], ["doc_id"], "size", 50_000, 40).select("source", "doc_id", "total")
 
 
 def b26_transitions(spark: SparkSession, sf: str) -> DataFrame:
@@ -206,7 +204,7 @@ def d31_line_marks(spark: SparkSession, sf: str) -> DataFrame:
 
 def e01_findings_order(spark: SparkSession, sf: str) -> DataFrame:
     f = endpoints(spark, sf).select("finding_hash", "value", F.when(F.contains("value", F.lit("?")), "param").otherwise("endpoint").alias("type")).distinct()
-    return f.select("type", "value", "finding_hash", F.row_number().over(Window.partitionBy("type").orderBy("value", "finding_hash")).cast("long").alias("place")).orderBy("type", "value", "finding_hash")
+    return ranks.ranked(f, ["type"], ["value", "finding_hash"]).select("type", "value", "finding_hash", "place").orderBy("type", "value", "finding_hash")
 
 
 def e02_occurrence_order(spark: SparkSession, sf: str) -> DataFrame:
