@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.plans import addresses, intake, keyed, labels, models, modules, reads, scans, source_maps, specs, technologies
+from basalt.plans import addresses, documents, intake, keyed, labels, models, modules, reads, scans, source_maps, specs, technologies
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_ALL = scans.QUERIES | models.QUERIES | labels.QUERIES | reads.QUERIES | intake.QUERIES | technologies.QUERIES | specs.QUERIES | modules.QUERIES | keyed.QUERIES | source_maps.QUERIES | addresses.QUERIES
+_ALL = scans.QUERIES | models.QUERIES | labels.QUERIES | reads.QUERIES | intake.QUERIES | technologies.QUERIES | specs.QUERIES | modules.QUERIES | keyed.QUERIES | source_maps.QUERIES | addresses.QUERIES | documents.QUERIES
 
 
 def queries() -> dict[str, Query]:
