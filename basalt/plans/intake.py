@@ -82,7 +82,7 @@ def a34_loaded_scripts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def b01_tenant(spark: SparkSession, sf: str) -> DataFrame:
-    return endpoints(spark, sf).withColumn("tenant", F.pmod("page_id", F.lit(2))).where("tenant = 1").select("page_id", "operation")
+    return endpoints(spark, sf, hashed=False).withColumn("tenant", F.pmod("page_id", F.lit(2))).where("tenant = 1").select("page_id", "operation")
 
 
 def b09_capture_scope(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,7 +93,7 @@ def b09_capture_scope(spark: SparkSession, sf: str) -> DataFrame:
 
 def b16_b17_filters(spark: SparkSession, sf: str) -> DataFrame:
     wanted = F.lit(None).cast("int")
-    ep = endpoints(spark, sf).where(F.contains(F.lower("operation"), F.lit("/fr")))
+    ep = endpoints(spark, sf, hashed=False).where(F.contains(F.lower("operation"), F.lit("/fr")))
     return ep.where(wanted.isNull() | (F.pmod("run_id", F.lit(2)) == wanted)).select("operation").distinct()
 
 
@@ -140,7 +140,7 @@ def k04_correlation_stage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def k13_request_overlay(spark: SparkSession, sf: str) -> DataFrame:
-    ep = endpoints(spark, sf)
+    ep = endpoints(spark, sf, hashed=False)
     path = F.regexp_replace("operation", "^[A-Z]+ ", "")
     ruled = F.startswith(path, F.lit("/fr/"))
     moved = ep.select(F.when(ruled, F.concat(F.lit("GET /api"), path)).otherwise(F.col("operation")).alias("operation"), F.when(ruled, F.lit("api.example.com")).otherwise(F.col("host")).alias("host"), F.when(ruled, F.concat(F.lit("https://api.example.com"), path)).otherwise(F.col("url")).alias("example"))
@@ -148,7 +148,7 @@ def k13_request_overlay(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def k16_operation_object(spark: SparkSession, sf: str) -> DataFrame:
-    ep = endpoints(spark, sf)
+    ep = endpoints(spark, sf, hashed=False)
     keys = F.explode_outer(F.filter(F.split(F.split_part("value", F.lit("?"), F.lit(2)), "&"), lambda k: k != "")).alias("name")
     params = ep.select("operation", keys).distinct().groupBy("operation").agg(F.array_sort(F.collect_set("name")).alias("names"))
     listed = F.transform("names", lambda n: F.struct(n.alias("name"), F.lit("query").alias("in")))
@@ -156,14 +156,14 @@ def k16_operation_object(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def k18_operation_merge(spark: SparkSession, sf: str) -> DataFrame:
-    ep = endpoints(spark, sf).select(F.regexp_replace("operation", "\\{[a-z]+\\}", "{p}").alias("path"), "operation", "value")
+    ep = endpoints(spark, sf, hashed=False).select(F.regexp_replace("operation", "\\{[a-z]+\\}", "{p}").alias("path"), "operation", "value")
     names = F.filter(F.split(F.split_part("value", F.lit("?"), F.lit(2)), "&"), lambda k: k != "")
     return ep.groupBy("path").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(names)))), ",").alias("params"), F.count_distinct("operation").alias("operations"))
 
 
 def k20_other_verbs(spark: SparkSession, sf: str) -> DataFrame:
     verb = pick(["GET", "WS", "PURGE", "POST", "EXPR"], F.col("page_id"))
-    ops = endpoints(spark, sf).select(F.when(verb == "WS", "websocket").when(verb.isin("PURGE", "EXPR"), "other").alias("list"), F.concat_ws(" ", verb, F.regexp_replace("operation", "^[A-Z]+ ", "")).alias("operation"))
+    ops = endpoints(spark, sf, hashed=False).select(F.when(verb == "WS", "websocket").when(verb.isin("PURGE", "EXPR"), "other").alias("list"), F.concat_ws(" ", verb, F.regexp_replace("operation", "^[A-Z]+ ", "")).alias("operation"))
     return ops.where("list IS NOT NULL").groupBy("list").agg(F.array_join(F.array_sort(F.collect_set("operation")), "|").alias("operations"))
 
 

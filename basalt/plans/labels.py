@@ -84,7 +84,7 @@ def b27_display_source(spark: SparkSession, sf: str) -> DataFrame:
 
 def g08_param_value(spark: SparkSession, sf: str) -> DataFrame:
     keys = F.explode(F.split(F.split_part("value", F.lit("?"), F.lit(2)), "&")).alias("name")
-    rows = endpoints(spark, sf).where(F.contains("value", F.lit("?"))).select("page_id", "operation", keys)
+    rows = endpoints(spark, sf, hashed=False).where(F.contains("value", F.lit("?"))).select("page_id", "operation", keys)
     value = normalize.param_value(F.col("operation"), F.lit("query"), F.col("name"))
     return rows.select("page_id", value.alias("value"), (urls.operation_of_param(value) == F.col("operation")).alias("inverse"))
 

@@ -50,12 +50,12 @@ def c10_correlate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def c11_classify(spark: SparkSession, sf: str) -> DataFrame:
-    return match.classify(endpoints(spark, sf).select("operation"), documented(spark))
+    return match.classify(endpoints(spark, sf, hashed=False).select("operation"), documented(spark))
 
 
 def c12_base_url_overlay(spark: SparkSession, sf: str) -> DataFrame:
     rules = spark.createDataFrame(list(RULES), "ord int, base_url string, path_prefix string")
-    return match.base_url_overlay(endpoints(spark, sf).select("operation"), rules)
+    return match.base_url_overlay(endpoints(spark, sf, hashed=False).select("operation"), rules)
 
 
 def c18_context_join(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,7 +122,7 @@ def d16_request_assembly(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def d20_facet_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return merge.facets(endpoints(spark, sf), ["host", "run_id"])
+    return merge.facets(endpoints(spark, sf, hashed=False), ["host", "run_id"])
 
 
 def d22_tree_rollup(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,7 +131,7 @@ def d22_tree_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 def d24_path_tag(spark: SparkSession, sf: str) -> DataFrame:
     tag = F.coalesce(F.try_element_at(urls.segments(F.regexp_replace("operation", "^[A-Z]+ ", "")), F.lit(1)), F.lit("(root)"))
-    return endpoints(spark, sf).groupBy(tag.alias("tag")).agg(F.count_distinct("operation").alias("operations"))
+    return endpoints(spark, sf, hashed=False).groupBy(tag.alias("tag")).agg(F.count_distinct("operation").alias("operations"))
 
 
 def d26_completeness(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,7 +149,7 @@ def e07_top_priority(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def e08_capped(spark: SparkSession, sf: str) -> DataFrame:
-    ep = endpoints(spark, sf).where("host IS NOT NULL").select("host", "page_id", "url")
+    ep = endpoints(spark, sf, hashed=False).where("host IS NOT NULL").select("host", "page_id", "url")
     return intervals.first_n(ep, ["host"], ["url", "page_id"], 3).select("host", "page_id", "place", "capped")
 
 
@@ -165,7 +165,7 @@ def f06_run_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def k19_servers(spark: SparkSession, sf: str) -> DataFrame:
-    ep = endpoints(spark, sf).where("host IS NOT NULL")
+    ep = endpoints(spark, sf, hashed=False).where("host IS NOT NULL")
     return ep.groupBy("host").agg(F.concat(F.max(urls.part(F.col("url"), urls.SCHEME)), F.lit("://"), F.first("host")).alias("origin"))
 
 

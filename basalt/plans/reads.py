@@ -40,7 +40,7 @@ def b12_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def b13_facet_filter(spark: SparkSession, sf: str) -> DataFrame:
-    hosts = endpoints(spark, sf).groupBy("operation").agg(F.collect_set("host").alias("hosts"), F.min("run_id").alias("run_id"))
+    hosts = endpoints(spark, sf, hashed=False).groupBy("operation").agg(F.collect_set("host").alias("hosts"), F.min("run_id").alias("run_id"))
     return hosts.where(F.arrays_overlap("hosts", F.array(F.lit("example.com"), F.lit("example.org"))) & F.col("run_id").isin(0, 1, 2, 3)).select("operation", F.col("run_id").cast("long").alias("run_id"))
 
 
@@ -145,7 +145,7 @@ def d15_run_scoped(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def d17_request_merge(spark: SparkSession, sf: str) -> DataFrame:
-    ep = endpoints(spark, sf).withColumn("path", F.regexp_replace("operation", "^GET /(fr|de)/", "GET /any/"))
+    ep = endpoints(spark, sf, hashed=False).withColumn("path", F.regexp_replace("operation", "^GET /(fr|de)/", "GET /any/"))
     one = ep.groupBy("operation", "path").agg(F.collect_set("host").alias("hosts"), F.min("url").alias("example"), F.max(F.when(F.contains("value", F.lit("?")), F.lit("query"))).alias("content"))
     return one.groupBy("path").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hosts")))), ",").alias("hosts"), F.min("example").alias("example"), F.min(F.when(F.col("content").isNotNull(), F.struct("operation", "content")))["content"].alias("content"))
 
@@ -278,7 +278,7 @@ def k10_base_stripped(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def k14_probe_host(spark: SparkSession, sf: str) -> DataFrame:
-    r = endpoints(spark, sf).groupBy("operation").agg(F.array_sort(F.collect_set(F.when(F.col("run_id") > 5, F.col("host")))).alias("hosts"))
+    r = endpoints(spark, sf, hashed=False).groupBy("operation").agg(F.array_sort(F.collect_set(F.when(F.col("run_id") > 5, F.col("host")))).alias("hosts"))
     filled = F.when((F.size("hosts") == 0) & F.col("operation").rlike("^GET /"), F.array(F.lit("probe.example"))).otherwise(F.col("hosts"))
     return r.select("operation", F.array_join(filled, ",").alias("hosts"))
 
@@ -321,7 +321,7 @@ def l07_clone_decision(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def l08_rule_deleted(spark: SparkSession, sf: str) -> DataFrame:
-    ops = endpoints(spark, sf).select("operation").distinct()
+    ops = endpoints(spark, sf, hashed=False).select("operation").distinct()
     rules = spark.createDataFrame([(0, "/fr", True), (1, "/de", False), (2, "/", False)], "ord int, prefix string, deleted boolean").where("NOT deleted")
     path = F.regexp_replace("operation", "^[A-Z]+ ", "")
     fits = ops.join(F.broadcast(rules), F.startswith(path, F.col("prefix")), "left")

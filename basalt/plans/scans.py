@@ -49,7 +49,7 @@ def a20_shared_url(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def b04_host_in_scope(spark: SparkSession, sf: str) -> DataFrame:
-    hosts = endpoints(spark, sf).select("host").distinct()
+    hosts = endpoints(spark, sf, hashed=False).select("host").distinct()
     return hosts.select("host", scope.in_scope(F.col("host"), SCOPE, SUFFIXES).alias("inside"))
 
 
@@ -62,7 +62,7 @@ def b18_glob_denylist(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def b19_third_party(spark: SparkSession, sf: str) -> DataFrame:
-    h = endpoints(spark, sf).where("host IS NOT NULL")
+    h = endpoints(spark, sf, hashed=False).where("host IS NOT NULL")
     return h.groupBy(scope.last_labels(F.col("host")).alias("site")).agg(F.count(F.lit(1)).alias("n"), F.max((scope.last_labels(F.col("host")) != "example.com").cast("int")).alias("third_party"))
 
 
@@ -86,7 +86,7 @@ def g05_query_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def g07_endpoint_identity(spark: SparkSession, sf: str) -> DataFrame:
-    return endpoints(spark, sf).select("page_id", "operation", "value", "host")
+    return endpoints(spark, sf, hashed=False).select("page_id", "operation", "value", "host")
 
 
 def g14_finding_hash(spark: SparkSession, sf: str) -> DataFrame:

@@ -56,7 +56,7 @@ def a24_classified(spark: SparkSession, sf: str) -> DataFrame:
     """The pages' operations against all documented ones, in the order of hosts and documents."""
     found = specs.documented(specs.verdicts(specs.looked_at(bodies(spark, sf))))
     rows = found.select(F.struct("spec_id", "ord").alias("ord"), "operation")
-    return correlate.classify(endpoints(spark, sf).select("operation"), rows)
+    return correlate.classify(endpoints(spark, sf, hashed=False).select("operation"), rows)
 
 
 FORM = "length(spec_id) % 8"

@@ -19,11 +19,15 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.pmod("page_id", F.lit(RUNS)).alias("run_id"), "url", F.col("html").alias("content"))
 
 
-def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page as an observed GET: run_id, page_id, operation, value, host, finding_hash."""
+def endpoints(spark: SparkSession, sf_dir: str, hashed: bool = True) -> DataFrame:
+    """Each page as an observed GET: run_id, page_id, operation, value, host and, unless not hashed, finding_hash.
+
+    The hash of values beyond plain ASCII takes a join that no plan can leave out, so it is only added where used.
+    """
     pages = table(spark, sf_dir, "pages").select("page_id", "url").where("url IS NOT NULL")
     rows = pages.select("page_id", "url", F.pmod("page_id", F.lit(RUNS)).alias("run_id"), urls.endpoint(F.lit("GET"), F.col("url")).alias("e"))
-    return identity.with_finding_hash(rows.select("page_id", "url", "run_id", "e.operation", "e.value", "e.host"), F.lit("endpoint"), "value")
+    rows = rows.select("page_id", "url", "run_id", "e.operation", "e.value", "e.host")
+    return identity.with_finding_hash(rows, F.lit("endpoint"), "value") if hashed else rows
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
