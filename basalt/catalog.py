@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.plans import addresses, candidates, documents, hosts, intake, keyed, labels, models, modules, reads, scans, source_maps, specs, technologies, views
+from basalt.plans import addresses, candidates, documents, hosts, intake, keyed, labels, models, modules, reads, scans, sessions, source_maps, specs, technologies, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_ALL = scans.QUERIES | models.QUERIES | labels.QUERIES | reads.QUERIES | intake.QUERIES | technologies.QUERIES | specs.QUERIES | modules.QUERIES | keyed.QUERIES | source_maps.QUERIES | addresses.QUERIES | documents.QUERIES | candidates.QUERIES | views.QUERIES | hosts.QUERIES
+_ALL = scans.QUERIES | models.QUERIES | labels.QUERIES | reads.QUERIES | intake.QUERIES | technologies.QUERIES | specs.QUERIES | modules.QUERIES | keyed.QUERIES | source_maps.QUERIES | addresses.QUERIES | documents.QUERIES | candidates.QUERIES | views.QUERIES | hosts.QUERIES | sessions.QUERIES
 
 
 def queries() -> dict[str, Query]:

@@ -66,3 +66,29 @@ def object_key(tenant: Column, run: Column, kind: Column, content: Column) -> Co
 def short_tag(*fields: Column) -> Column:
     """A tag of 16 hex digits over fields joined by colons; nulls count as `None`."""
     return F.left(F.sha2(F.concat_ws(":", *(F.coalesce(f.cast("string"), F.lit("None")) for f in fields)), 256), F.lit(16))
+
+
+def json_inside(value: Column) -> Column:
+    """The inside of the JSON string of value in ASCII: two signs for quote, backslash and the five named controls, \\uXXXX for all else beyond printable ASCII."""
+    code = lambda c: F.lower(F.lpad(F.hex(c), 4, "0"))
+    unit = lambda c: F.concat(F.lit("\\u"), code(c))
+
+    def escaped(c: Column) -> Column:
+        n = F.ascii(c).cast("long")
+        named = F.when(c == '"', '\\"').when(c == "\\", "\\\\").when(n == 8, "\\b").when(n == 9, "\\t").when(n == 10, "\\n").when(n == 12, "\\f").when(n == 13, "\\r")
+        rest = n - 0x10000
+        pair = F.concat(unit(F.lit(0xD800) + F.shiftright(rest, 10)), unit(F.lit(0xDC00) + rest.bitwiseAND(F.lit(0x3FF))))
+        return named.when((n >= 0x20) & (n < 0x7F), c).when(n > 0xFFFF, pair).otherwise(unit(n))
+
+    chars = F.transform(F.sequence(F.lit(1), F.greatest(F.length(value), F.lit(1))), lambda i: F.substring(value, i, F.lit(1)))
+    return F.when(F.coalesce(value.rlike(PLAIN), F.lit(True)), value).otherwise(F.array_join(F.transform(chars, escaped), ""))
+
+
+def json_hash(**fields: Column) -> Column:
+    """sha256 of the JSON of the fields in order of name; null is null, numbers and truth values stand without quotes, any text is escaped."""
+    parts = []
+    for k, (name, field) in enumerate(sorted(fields.items())):
+        text = field.cast("string")
+        bare = F.typeof(field).isin("int", "bigint", "smallint", "tinyint", "boolean")
+        parts += [F.lit(f'{"," if k else ""}"{name}":'), F.coalesce(F.when(bare, text).otherwise(F.concat(F.lit('"'), json_inside(text), F.lit('"'))), F.lit("null"))]
+    return F.sha2(F.concat(F.lit("{"), *parts, F.lit("}")), 256)

@@ -49,15 +49,15 @@ def compare_path(operation: Column) -> Column:
     return F.transform(urls.segments(path), wild)
 
 
-def classify(operations: DataFrame, documented: DataFrame) -> DataFrame:
-    """operation, status, reason, matched for each client operation.
+def classify(operations: DataFrame, documented: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """operation, status, reason, matched for each client operation; within: columns of both sides (not null) that name the list an operation is held against.
 
     documented: ord, operation. In order: other verbs than VERBS are non-http; interpolated ones partial; equal
     method and path documented; one path a proper end of the other suffix-verify; same path under another
     method undocumented-method; else undocumented-path. The end comparison is two equi-joins over exploded
     suffixes instead of a join of all pairs.
     """
-    ops = operations.select("operation").distinct()
+    ops = operations.select(*within, "operation").distinct()
     method = F.split_part("operation", F.lit(" "), F.lit(1))
     key = lambda c: F.array_join(c, "/")
     c = ops.withColumn("method", method).withColumn("segs", compare_path(F.col("operation"))).withColumn("path", key(F.col("segs")))
@@ -65,21 +65,21 @@ def classify(operations: DataFrame, documented: DataFrame) -> DataFrame:
     mixed = lambda s: s.rlike("[{}$]") & ~s.rlike(PARAMETER)
     partial = F.exists(raw, mixed) | F.coalesce(F.try_element_at(raw, F.lit(1)).rlike("^\\$\\{"), F.lit(False))
     c = c.withColumn("non_http", ~F.col("method").isin(*VERBS)).withColumn("partial", F.coalesce(partial, F.lit(False)))
-    d = documented.select("ord", F.col("operation").alias("doc"), F.split_part("operation", F.lit(" "), F.lit(1)).alias("method"), compare_path(F.col("operation")).alias("segs")).withColumn("path", key(F.col("segs")))
+    d = documented.select(*within, "ord", F.col("operation").alias("doc"), F.split_part("operation", F.lit(" "), F.lit(1)).alias("method"), compare_path(F.col("operation")).alias("segs")).withColumn("path", key(F.col("segs")))
     suffixes = lambda t: t.withColumn("suffix", F.explode(F.when(F.size("segs") > 1, F.transform(F.sequence(F.lit(2), F.greatest(F.size("segs"), F.lit(2))), lambda i: F.array_join(F.slice("segs", i, F.size("segs")), "/")))))
     pick = F.min(F.struct("ord", "doc"))["doc"]
-    exact = c.join(d, ["method", "path"]).groupBy("operation").agg(pick.alias("exact"))
-    longer = suffixes(d).select("ord", "doc", "method", F.col("suffix").alias("path")).join(c, ["method", "path"]).select("operation", "ord", "doc")
-    shorter = suffixes(c).select("operation", "method", F.col("suffix").alias("path")).join(d.where("path <> ''"), ["method", "path"]).select("operation", "ord", "doc")
-    ends = longer.unionByName(shorter).groupBy("operation").agg(pick.alias("ends"))
-    other = c.join(d.select("ord", "doc", "path"), "path").groupBy("operation").agg(pick.alias("other"))
-    out = c.join(exact, "operation", "left").join(ends, "operation", "left").join(other, "operation", "left")
+    exact = c.join(d, [*within, "method", "path"]).groupBy(*within, "operation").agg(pick.alias("exact"))
+    longer = suffixes(d).select(*within, "ord", "doc", "method", F.col("suffix").alias("path")).join(c, [*within, "method", "path"]).select(*within, "operation", "ord", "doc")
+    shorter = suffixes(c).select(*within, "operation", "method", F.col("suffix").alias("path")).join(d.where("path <> ''"), [*within, "method", "path"]).select(*within, "operation", "ord", "doc")
+    ends = longer.unionByName(shorter).groupBy(*within, "operation").agg(pick.alias("ends"))
+    other = c.join(d.select(*within, "ord", "doc", "path"), [*within, "path"]).groupBy(*within, "operation").agg(pick.alias("other"))
+    out = c.join(exact, [*within, "operation"], "left").join(ends, [*within, "operation"], "left").join(other, [*within, "operation"], "left")
     reason = F.when(F.col("non_http"), "non-http").when(F.col("partial"), "partial").when(F.col("exact").isNotNull(), "documented").when(F.col("ends").isNotNull(), "suffix-verify")
     reason = reason.when(F.col("other").isNotNull(), "undocumented-method").otherwise("undocumented-path")
     out = out.withColumn("reason", reason)
     status = F.when(F.col("reason") == "documented", "documented").when(F.col("reason").isin("undocumented-method", "undocumented-path"), "shadow").otherwise("unresolved")
     matched = F.when(F.col("reason") == "documented", F.col("exact")).when(F.col("reason") == "suffix-verify", F.col("ends")).when(F.col("reason") == "undocumented-method", F.col("other"))
-    return out.select("operation", status.alias("status"), "reason", matched.alias("matched"))
+    return out.select(*within, "operation", status.alias("status"), "reason", matched.alias("matched"))
 
 
 def summary(verdicts: DataFrame) -> DataFrame:
