@@ -7,7 +7,8 @@ an ordered chain of conditions; the first that holds rejects the document. Two t
 rules, one third prunes them; a rule must be right for MIN_PRECISION of the sample's rows it covers.
 
 Null text counts as no words. Labels that are null, or whose documents are missing, are ignored; without
-usable labels the list is empty and only the fixed limits reject. Other columns are kept or ignored.
+usable labels the list is empty and only the fixed limits reject. A document with labels of both kinds is not one
+to be rejected. Other columns are kept or ignored.
 """
 
 from __future__ import annotations
@@ -103,13 +104,13 @@ def _gain(p: int, n: int, p0: int, n0: int) -> float:
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> list[Rule]:
     """An ordered list of conjunctions that reject; labels has the id and quality (0: to be rejected)."""
     named = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("q_id"), (F.col("quality") == 0).alias("bad"))
-    sample = named.dropDuplicates(["q_id"]).orderBy(F.xxhash64("q_id"), "q_id").limit(max_labelled)
+    sample = named.groupBy("q_id").agg(F.min("bad").alias("bad")).orderBy(F.xxhash64("q_id"), "q_id").limit(max_labelled)
     rows = docs.select(F.col(id_col).alias("q_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "q_id")
     rows = statistics(rows).where(f"NOT ({BASE_FAILED})")
-    rows = written(rows.select("bad", (F.pmod(F.xxhash64("q_id", F.lit(1)), F.lit(3)) == 0).alias("held"), *(F.expr(e).alias(k) for k, e in FEATURES.items())).coalesce(4), "labelled")
+    rows = written(rows.select("bad", (F.pmod(F.xxhash64("q_id", F.lit(1)), F.lit(3)) == 0).alias("held"), *(F.expr(e).alias(k) for k, e in FEATURES.items())), "labelled")  # as many tasks as the documents have; the sample bounds the files
     at = [(k + 1) / (CUTS + 1) for k in range(CUTS)]
     # quantiles of the rows to be rejected and of the others, so that cuts lie where either has its rows
-    cuts_row = rows.agg(*(F.percentile_approx(F.when(F.col("bad") == side, F.col(k)), at, 1000).alias(f"{k}_{int(side)}") for k in FEATURES for side in (False, True))).first()
+    cuts_row = rows.agg(*(F.percentile_approx(F.when(F.col("bad") == side, F.col(k)), at, 4 * max_labelled).alias(f"{k}_{int(side)}") for k in FEATURES for side in (False, True))).first()
     cuts = {k: sorted({*(cuts_row[f"{k}_0"] or []), *(cuts_row[f"{k}_1"] or [])}) for k in FEATURES}
     cuts = {k: v for k, v in cuts.items() if v}
     if not cuts:
