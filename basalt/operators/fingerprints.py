@@ -9,6 +9,7 @@ few patterns that can match. No join on surface, and no pair of a signal and a r
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -174,10 +175,22 @@ def _scan(sent: Broadcast, name: str) -> Callable[[Iterator[pa.RecordBatch]], It
                 rows = list(block.hits({n: c.to_pylist() for n, c in zip(batch.schema.names, batch.slice(a, 200).columns, strict=True)}))
                 columns = list(zip(*rows, strict=True)) if rows else [()] * len(types)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in HIT.split(", ")])
+                del rows, columns
+            del batch
+        _release()
 
     return run
 
 
+def _release() -> None:
+    """Give a worker's freed memory back, so that workers which wait for their next task stay small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def hits(signals: DataFrame, rules: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """host, tech, js, rule, place, confidence, version, evidence of every rule that a signal meets. rules: of parsed_rules().
 
